@@ -17,14 +17,17 @@ from tessera.llm.storage import checkpointed
 def frequent_digests(digests: DataFrame, winners: int, counters: int, fan_in: int = 256) -> DataFrame:
     """Candidates (``probe`` long, at most ``winners`` rows) for the frequent values of ``probe``.
 
-    Sketches merge in two levels, so that the last task gets at most ``fan_in`` of them.
+    Each of ``fan_in`` slices of the input has a sketch; their counters are summed by value and the largest stay.
     """
     return (
         digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(fan_in)).alias("slice"))
-        .agg(F.expr(f"approx_top_k_accumulate(probe, {counters})").alias("sketch"))
-        .agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
-        .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {winners})")).alias("found"))
-        .select(F.col("found.item").alias("probe"))
+        .agg(F.expr(f"approx_top_k(probe, {winners}, {counters})").alias("found"))
+        .select(F.explode("found").alias("found"))
+        .groupBy(F.col("found.item").alias("probe"))
+        .agg(F.sum("found.count").alias("seen"))
+        .orderBy(F.desc("seen"), "probe")
+        .limit(winners)
+        .select("probe")
     )
 
 
