@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.mixing import mix_sources
+from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
+from tessera.llm.storage import new_folder
+from tessera.llm.token_files import read_token_files, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +26,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels")
     weight = labels.groupBy("doc_id").agg((F.lit(1.0) + F.max("quality")).alias("weight"))
@@ -42,8 +52,22 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+OPERATORS = (
+    op1_exact_dedup,
+    op3_token_files,
+    op5_mix_sources,
+    op9_shard_documents,
+    op10_pack_documents,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_mix_sources, op9_shard_documents)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
