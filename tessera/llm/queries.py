@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_duplicates
+from tessera.llm.language import identify_languages
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
 from tessera.llm.storage import new_folder
 from tessera.llm.token_files import read_token_files, write_token_files
+from tessera.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels")
     weight = labels.groupBy("doc_id").agg((F.lit(1.0) + F.max("quality")).alias("weight"))
@@ -39,6 +45,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(_table(spark, sf_dir, "documents"), shards=40)
     return placed.select(
@@ -60,7 +70,9 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_exact_dedup,
     op3_token_files,
+    op4_language_id,
     op5_mix_sources,
+    op8_toxicity_chain,
     op9_shard_documents,
     op10_pack_documents,
 )
