@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.language import identify_languages
+from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.mixing import mix_sources
+from tessera.llm.near_dedup import jaccard_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
 from tessera.llm.storage import new_folder
@@ -45,6 +47,14 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -72,6 +82,8 @@ OPERATORS = (
     op3_token_files,
     op4_language_id,
     op5_mix_sources,
+    op6_jaccard_join,
+    op7_line_dedup,
     op8_toxicity_chain,
     op9_shard_documents,
     op10_pack_documents,
