@@ -254,3 +254,11 @@ def identify_languages(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     model = fit_languages(rows.where(~held_out(F.col("doc_id"))), path, **fit)
     found = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predicted_language(F.col("text"), model, docs.sparkSession).alias("p"))
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def keep_known_languages(docs: DataFrame, path: str, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit) -> DataFrame:
+    """The rows of ``docs``, columns as they are, whose language is recognised with a posterior of ``least`` or more."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    model = fit_languages(rows.where(~held_out(F.col("doc_id"))), path, **fit)
+    found = predicted_language(F.col(text_col), model, docs.sparkSession)
+    return docs.withColumn("_found", found).where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least)).select(*docs.columns)

@@ -17,7 +17,7 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
 from tessera.llm.storage import new_folder
 from tessera.llm.token_files import read_token_files, write_token_files
-from tessera.llm.toxicity import score_toxicity
+from tessera.llm.toxicity import score_toxicityfrom tessera.llm.vector_dedup import vector_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -79,6 +83,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_exact_dedup,
+    op2_vector_dedup,
     op3_token_files,
     op4_language_id,
     op5_mix_sources,
