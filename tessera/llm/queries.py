@@ -17,7 +17,8 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
 from tessera.llm.storage import new_folder
 from tessera.llm.token_files import read_token_files, write_token_files
-from tessera.llm.toxicity import score_toxicityfrom tessera.llm.vector_dedup import vector_groups
+from tessera.llm.toxicity import score_toxicity
+from tessera.llm.vector_dedup import vector_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
