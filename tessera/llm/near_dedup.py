@@ -29,7 +29,9 @@ SLICE_BYTES = 2 << 20
 BASE, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Sizes from one power of this to the next share their segments.
-STEP = 1.6
+STEP = 1.25
+#: Block numbers within a size class stay below this.
+BLOCKS = 1 << 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +93,8 @@ def _schemes(size: int, percent: int) -> Iterator[tuple[int, int, int]]:
         top = math.ceil(STEP ** (c + 1))  # sizes of the larger set are below
         differ = math.floor((1 - t) / (1 + t) * 2 * top + 1e-9)
         empty = (differ + 1) * math.exp(-t * STEP**c / (differ + 1))
-        spare = math.ceil(empty + 6 * math.sqrt(empty) + 3)
+        # small sets seldom have an empty segment and would be cut too fine by spare ones
+        spare = math.ceil(empty + 3 * math.sqrt(empty)) if differ >= 8 else 0
         yield c, differ + 1 + spare, spare
 
 
@@ -245,23 +248,33 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, id_col: s
     edges = keys.withColumn("v", low).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
     clusters = connected_components(edges)
     clusters = checkpointed(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).union(clusters.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct()))
-    # of equal sets only the first goes on
-    clusters = clusters.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cluster").alias("c"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = checkpointed(clusters.join(sizes, F.col("cluster") == F.col("c")).select("doc_id", "cluster", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), "blocks"))
+    # of equal sets only the first goes on; linked sizes are in the same class or in neighbouring ones
+    width = math.log(100 / percent) * 1.0001
+    clusters = clusters.join(firsts.select(F.col("first").alias("doc_id"), F.floor(F.log(F.col("n_shingles").cast("double")) / width).alias("size_class")), "doc_id")
+    counts = checkpointed(clusters.groupBy("cluster", "size_class").agg(F.count(F.lit(1)).alias("n")))
+    placed = clusters
+    for name, shift in (("n0", 0), ("n1", 1), ("n2", -1)):
+        near = counts.select("cluster", (F.col("size_class") - shift).alias("size_class"), F.col("n").alias(name))
+        placed = placed.join(near, ["cluster", "size_class"], "left")
+    blocks = {n: F.ceil(F.coalesce(F.col(n), F.lit(0)) / block).cast("long") for n in ("n0", "n1", "n2")}
+    parts = [F.when(blocks[n] > 0, F.transform(F.sequence(F.lit(0).cast("long"), blocks[n] - 1), lambda x, k=k: (F.col("size_class") + k) * BLOCKS + x)).otherwise(F.array().cast("array<bigint>")) for n, k in (("n0", 0), ("n1", 1), ("n2", -1))]
+    dealt = checkpointed(
+        placed.where(F.col("n0") + F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)) > 1)
+        .select("doc_id", "cluster", (F.col("size_class") * BLOCKS + F.pmod(F.xxhash64("doc_id"), blocks["n0"])).alias("block"), F.concat(*parts).alias("others"))
+    )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, shingles, at in shingle_sets(b.column("text"), words):
                 n = len(at) - 1
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(shingles))])
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, n) for c in ("doc_id", "cluster", "block", "blocks")), raw], names=["doc_id", "cluster", "block", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, n) for c in ("doc_id", "cluster", "block", "others")), raw], names=["doc_id", "cluster", "block", "others", "shingles"])
 
     meeting = (
         rows.join(dealt, "doc_id")
-        .select("doc_id", "cluster", "block", "blocks", "text")
-        .mapInArrow(packed, "doc_id long, cluster long, block int, blocks int, shingles binary")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("doc_id", "cluster", "block", "others", "text")
+        .mapInArrow(packed, "doc_id long, cluster long, block long, others array<long>, shingles binary")
+        .withColumn("other", F.explode("others"))
         .select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "doc_id", "block", "shingles")
         .repartition("cluster", "a", "b")
         .sortWithinPartitions("cluster", "a", "b")
