@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 #: Probability of a single character that is no piece; the same for every language.
 FLOOR = 1e-7
 START = "▁"
-SLICE_BYTES = 8 << 20
+#: Bytes of text that are scored at a time; some tens of times as much memory goes into their runs and scores.
+SLICE_BYTES = 2 << 20
 
 
 def vocabulary(path: str, longest: int = 12) -> dict[str, int]:
@@ -233,6 +234,7 @@ def predicted_language(text: Column, model: LanguageModel, spark) -> Column:
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
         found, share = shared.value.predict(texts)
+        pa.default_memory_pool().release_unused()  # slices of unlike sizes would pile up in the allocator
         return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(share)], names=["lang_pred", "score"])
 
     return predict(text)
