@@ -29,3 +29,28 @@ def both(left: Column, right: Column, truthy: Column) -> Column:
 def modulo(left: Column, right: Column) -> Column:
     """Remainder with the sign of the divisor; null for a zero divisor."""
     return F.when(right != 0, left - right * F.floor(left / right))
+
+
+def to_number(text: Column) -> Column:
+    """A text as a number: null and blank are 0, anything else that is no number is NaN."""
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit(0.0)).otherwise(F.coalesce(text.try_cast("double"), F.lit(float("nan"))))
+
+
+def less(left: Column, right: Column) -> Column:
+    """``left < right`` of numbers; false with NaN or null on either side."""
+    a, b = left.cast("double"), right.cast("double")
+    return F.coalesce((a < b) & ~F.isnan(a) & ~F.isnan(b), F.lit(False))
+
+
+def divide(left: Column, right: Column) -> Column:
+    """Quotient; by zero it is infinite, positive for a positive dividend only."""
+    a, b = left.cast("double"), right.cast("double")
+    return F.when(b == 0, F.when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))).otherwise(F.try_divide(a, b))
+
+
+def sliced(items: Column, start: int, end: int | None = None) -> Column:
+    """``slice(start, end)`` with negative positions counted from the end."""
+    n = F.size(items)
+    at = lambda i: F.greatest(n + i, F.lit(0)) if i < 0 else F.least(F.lit(i), n)
+    first, last = at(start), n if end is None else at(end)
+    return F.slice(items, first + 1, F.greatest(last - first, F.lit(0)))

@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Patterns that speak for code; three or more make a text code. Fixed values.
-CODE = (r"\bfunction\b", r"\bconst\s+\w+", r"\blet\s+\w+", r"\bimport\s", r"\bexport\s", r"\bclass\s+\w+", r"=>", r"[{};]\s*(\n|$)", r"\breturn\b", r"</?\w+[^>]*>")
+CODE = (
+    r"function\s+\w+", r"const\s+\w+", r"import\s+[^\n]*from", r"export\s+", r"class\s+\w+", r"interface\s+\w+", r"type\s+\w+",
+    r"\{\s*[^}]*\}", r"[\[\](){}]", r"=>", r"===?", r"!==?", r"//", r"/\*",
+)
 
 
 def code_indicators(text: Column) -> Column:

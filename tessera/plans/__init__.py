@@ -1 +1,3 @@
+"""Registered queries with their SQL oracles, and computed fields."""
 
+from tessera.plans import registry, workflow_queries  # noqa: F401  (the second adds its queries to the first)
