@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.components import connected_components, union
 from tessera.llm.storage import checkpointed
 
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are cut into shingles at a time; about a hundred bytes of arrays go with each.
+SLICE_BYTES = 512 << 10
 #: Fixed odd multipliers of the hashes.
 BASE, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
