@@ -31,6 +31,8 @@ BASE, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Sizes from one power of this to the next share their segments.
 STEP = 1.25
+#: Deals of a set's shingles to segments before empty segments become keys.
+DEALS = 8
 #: Block numbers within a size class stay below this.
 BLOCKS = 1 << 32
 
@@ -100,15 +102,25 @@ def _schemes(size: int, percent: int) -> Iterator[tuple[int, int, int]]:
 
 
 def segment_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of one set; two sets within the similarity share one at least."""
+    """Keys of one set; two sets within the similarity share one at least.
+
+    Of a pair's segments 1 + spare or more are equal. Where one of the two has no more than ``spare`` empty segments, one
+    of the equal ones has shingles. Where both have more, both deal their shingles out anew, so that
+    empty segments, which unlike sets share, are keys in the last deal only.
+    """
     keys = []
     for c, segments, spare in _schemes(len(shingles), percent):
-        of = (_mix(shingles + np.uint64(c)) >> np.uint64(11)) % np.uint64(segments)
-        content = np.zeros(segments, np.uint64)
-        np.add.at(content, of.astype(np.int64), _mix(shingles ^ MIX_A))
-        used = np.bincount(of.astype(np.int64), minlength=segments) > 0
-        chosen = np.flatnonzero(used) if segments - used.sum() <= spare else np.arange(segments)
-        keys.append(_mix(content[chosen] + _mix(chosen.astype(np.uint64) + np.uint64(c << 32))))
+        for deal in range(DEALS):
+            seed = np.uint64(c + (deal << 16))
+            of = ((_mix(shingles + seed) >> np.uint64(11)) % np.uint64(segments)).astype(np.int64)
+            content = np.zeros(segments, np.uint64)
+            np.add.at(content, of, _mix(shingles ^ MIX_A))
+            used = np.bincount(of, minlength=segments) > 0
+            enough = segments - used.sum() <= spare
+            chosen = np.flatnonzero(used) if enough or deal < DEALS - 1 else np.arange(segments)
+            keys.append(_mix(content[chosen] + _mix(chosen.astype(np.uint64) + (seed << np.uint64(32)))))
+            if enough:
+                break
     return np.concatenate(keys)
 
 
