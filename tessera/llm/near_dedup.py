@@ -3,7 +3,7 @@
 1. Each text becomes its set of shingles (64-bit hashes); equal sets are joined to one.
 2. Sets are dealt out without loss: two sets of size at most m with Jaccard t or more differ in at most
    D = (1-t)/(1+t) * 2m shingles, so of more than D segments of the hash space at least one is equal in both. Sets
-   that share a segment's content get the same cluster (connected components of thin rows).
+   that share a segment's content meet in its cluster, the star around the smallest of them.
 3. Within clusters, blocks of sets meet in pairs, each pair in one task. A block is a signature tree: nodes hold
    OR-combined bitmaps and size ranges; two trees are traversed together and node pairs are pruned by
    their largest possible overlap. What is left is compared exactly.
@@ -35,6 +35,8 @@ STEP = 1.25
 DEALS = 8
 #: Block numbers within a size class stay below this.
 BLOCKS = 1 << 32
+#: The block of a star that isn't cut.
+WHOLE = -1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -255,25 +257,28 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, id_col: s
                 if keys:
                     yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of).astype(np.int64))], names=["key", "doc_id"])
 
-    # rows of a key meet once: a key with one set falls away, others hang their sets under the smallest
+    # rows of a key meet once: a key with one set falls away, others gather their sets around the smallest; two sets
+    # that share a key meet in its star, and sets that only a chain of keys connects don't
     keys = rows.where(F.col("doc_id").isNotNull()).mapInArrow(keyed, "key long, doc_id long")
     low = F.min("doc_id").over(Window.partitionBy("key"))
-    edges = keys.withColumn("v", low).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
-    clusters = connected_components(edges)
-    clusters = checkpointed(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).union(clusters.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct()))
+    rays = checkpointed(keys.withColumn("cluster", low).where("doc_id <> cluster").select("doc_id", "cluster").distinct())
+    clusters = rays.union(rays.select(F.col("cluster").alias("doc_id"), "cluster").distinct())
     # of equal sets only the first goes on; linked sizes are in the same class or in neighbouring ones
     width = math.log(100 / percent) * 1.0001
-    clusters = clusters.join(firsts.select(F.col("first").alias("doc_id"), F.floor(F.log(F.col("n_shingles").cast("double")) / width).alias("size_class")), "doc_id")
+    clusters = checkpointed(clusters.join(firsts.select(F.col("first").alias("doc_id"), F.floor(F.log(F.col("n_shingles").cast("double")) / width).alias("size_class")), "doc_id"))
     counts = checkpointed(clusters.groupBy("cluster", "size_class").agg(F.count(F.lit(1)).alias("n")))
-    placed = clusters
+    placed = clusters.join(counts.groupBy("cluster").agg(F.sum("n").alias("n")), "cluster")
     for name, shift in (("n0", 0), ("n1", 1), ("n2", -1)):
         near = counts.select("cluster", (F.col("size_class") - shift).alias("size_class"), F.col("n").alias(name))
         placed = placed.join(near, ["cluster", "size_class"], "left")
     blocks = {n: F.ceil(F.coalesce(F.col(n), F.lit(0)) / block).cast("long") for n in ("n0", "n1", "n2")}
     parts = [F.when(blocks[n] > 0, F.transform(F.sequence(F.lit(0).cast("long"), blocks[n] - 1), lambda x, k=k: (F.col("size_class") + k) * BLOCKS + x)).otherwise(F.array().cast("array<bigint>")) for n, k in (("n0", 0), ("n1", 1), ("n2", -1))]
+    # a small star is one block that meets itself, so that each of its sets is sent once
+    small = F.col("n") <= block
     dealt = checkpointed(
         placed.where(F.col("n0") + F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)) > 1)
-        .select("doc_id", "cluster", (F.col("size_class") * BLOCKS + F.pmod(F.xxhash64("doc_id"), blocks["n0"])).alias("block"), F.concat(*parts).alias("others"))
+        .withColumn("block", F.when(small, F.lit(WHOLE).cast("long")).otherwise(F.col("size_class") * BLOCKS + F.pmod(F.xxhash64("doc_id"), blocks["n0"])))
+        .select("doc_id", "cluster", "block", F.when(small, F.array("block")).otherwise(F.concat(*parts)).alias("others"))
     )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
