@@ -6,7 +6,7 @@
    that share a segment's content meet in its cluster, the star around the smallest of them.
 3. Within clusters, blocks of sets meet in pairs, each pair in one task. A block is a signature tree: nodes hold
    OR-combined bitmaps and size ranges; two trees are traversed together and node pairs are pruned by
-   their largest possible overlap. What is left is compared exactly.
+   their largest possible overlap. Bitmaps alone meet first; sets that may link then meet whole and are compared exactly.
 4. The links' components are the groups.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components, union
-from tessera.llm.storage import checkpointed
+from tessera.llm.storage import checkpointed, written
 
 #: Bytes of text that are cut into shingles at a time; about a hundred bytes of arrays go with each.
 SLICE_BYTES = 512 << 10
@@ -35,6 +35,8 @@ STEP = 1.25
 DEALS = 8
 #: Block numbers within a size class stay below this.
 BLOCKS = 1 << 32
+#: Least and most bits of a set's bitmap; sets beyond are pruned less, never dropped.
+BITS = (64, 1 << 14)
 #: The block of a star that isn't cut.
 WHOLE = -1
 
@@ -126,23 +128,27 @@ def segment_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits), bool)
-    for i, s in enumerate(sets):
-        out[i, (s % np.uint64(bits)).astype(np.int64)] = True
-    return out
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Bits of a set's shingles: two to four times as many bits as shingles, within fixed bounds."""
+    bits = np.zeros(min(max(1 << int(2 * len(shingles) - 1).bit_length(), BITS[0]), BITS[1]), bool)
+    bits[(shingles % np.uint64(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _unpacked(bitmaps: list[bytes], bits: int) -> np.ndarray:
+    """Bitmaps of at least ``bits`` bits, folded to ``bits``."""
+    return np.stack([np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little").reshape(-1, bits).any(0) for m in bitmaps])
 
 
 class SignatureTree:
-    """A block's sets, by size, under nodes of ``fan`` sets each."""
+    """A block's sets, by size, under nodes of ``fan`` sets each; ``bitmaps`` are of equal or more ``bits``."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int = 2048, fan: int = 8):
-        self.sets, self.fan = sets, fan
-        self.size = np.array([len(s) for s in sets], np.int64)
-        self.leaf = _bitmaps(sets, bits).astype(np.float32)
+    def __init__(self, size: np.ndarray, bitmaps: list[bytes], bits: int, fan: int = 8):
+        self.size, self.fan = np.asarray(size, np.int64), fan
+        self.leaf = _unpacked(bitmaps, bits).astype(np.float32)
         self.excess = self.size - self.leaf.sum(1).astype(np.int64)  # shingles that share a bit with another
-        heads = np.arange(0, len(sets), fan)
-        self.node = np.maximum.reduceat(self.leaf, heads) if len(sets) else self.leaf
+        heads = np.arange(0, len(bitmaps), fan)
+        self.node = np.maximum.reduceat(self.leaf, heads)
         self.low, self.high = np.minimum.reduceat(self.size, heads), np.maximum.reduceat(self.size, heads)
         self.node_excess = np.maximum.reduceat(self.excess, heads)
 
@@ -162,11 +168,49 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def tree_join(a: SignatureTree, b: SignatureTree, same: bool, percent: int) -> list[tuple[int, int]]:
-    """Links between the sets of two trees, enough of them to hold all components together."""
-    links = []
-    offset = 0 if same else len(a.sets)
-    group = list(range(len(a.sets) + (0 if same else len(b.sets))))
+def tree_pairs(a: SignatureTree, b: SignatureTree, same: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of two trees' sets that may link, node pair by node pair."""
+    nodes = _may_link(a.node @ b.node.T, a.low, a.high, a.node_excess, b.low, b.high, b.node_excess, percent)
+    for p, q in zip(*np.nonzero(np.triu(nodes) if same else nodes), strict=True):
+        i, j = slice(p * a.fan, (p + 1) * a.fan), slice(q * b.fan, (q + 1) * b.fan)
+        x, y = np.nonzero(_may_link(a.leaf[i] @ b.leaf[j].T, a.size[i], a.size[i], a.excess[i], b.size[j], b.size[j], b.excess[j], percent))
+        u, v = p * a.fan + x, q * b.fan + y
+        yield (u[u < v], v[u < v]) if same else (u, v)
+
+
+class Side:
+    """One side of a block pair: its sets by the width of their bitmaps, which is from two to below four times their size."""
+
+    def __init__(self, ids: list[int], size: list[int], bitmaps: list[bytes]):
+        self.ids = np.array(ids, np.int64)
+        self.size, self.bitmaps = np.array(size, np.int64), bitmaps
+        self.width = np.array([8 * len(m) for m in bitmaps], np.int64)
+        self.trees: dict[tuple[int, int], tuple[np.ndarray, SignatureTree]] = {}
+
+    def tree(self, width: int, bits: int) -> tuple[np.ndarray, SignatureTree]:
+        if (width, bits) not in self.trees:
+            at = np.flatnonzero(self.width == width)
+            at = at[np.lexsort((self.ids[at], self.size[at]))]
+            self.trees[width, bits] = at, SignatureTree(self.size[at], [self.bitmaps[k] for k in at], bits)
+        return self.trees[width, bits]
+
+
+def side_pairs(a: Side, b: Side, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of two sides' sets that may link; ``a is b`` for a block that meets itself."""
+    for w in np.unique(a.width).tolist():
+        for x in np.unique(b.width).tolist():
+            if percent * max(w, x) >= 200 * min(w, x) or (a is b and w > x):
+                continue
+            (at, left), (to, right) = a.tree(w, min(w, x)), b.tree(x, min(w, x))
+            for u, v in tree_pairs(left, right, a is b and w == x, percent):
+                yield at[u], to[v]
+
+
+def _linked_pairs(a: Side, b: Side, sets_a: list[np.ndarray], sets_b: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Links between two sides, enough of them to hold all components together."""
+    left, right = [], []
+    offset = 0 if a is b else len(sets_a)
+    group = list(range(len(sets_a) + (0 if a is b else len(sets_b))))
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -174,48 +218,58 @@ def tree_join(a: SignatureTree, b: SignatureTree, same: bool, percent: int) -> l
             i = group[i]
         return i
 
-    nodes = _may_link(a.node @ b.node.T, a.low, a.high, a.node_excess, b.low, b.high, b.node_excess, percent)
-    for p, q in zip(*np.nonzero(np.triu(nodes) if same else nodes), strict=True):
-        i, j = slice(p * a.fan, (p + 1) * a.fan), slice(q * b.fan, (q + 1) * b.fan)
-        pairs = _may_link(a.leaf[i] @ b.leaf[j].T, a.size[i], a.size[i], a.excess[i], b.size[j], b.size[j], b.excess[j], percent)
-        for x, y in zip(*np.nonzero(pairs), strict=True):
-            u, v = int(p * a.fan + x), int(q * b.fan + y)
-            if same and u >= v:
-                continue
+    for us, vs in side_pairs(a, b, percent):
+        for u, v in zip(us.tolist(), vs.tolist(), strict=True):
             r, s = root(u), root(offset + v)
-            if r != s and _linked(a.sets[u], b.sets[v], percent):
+            if r != s and _linked(sets_a[u], sets_b[v], percent):
                 group[max(r, s)] = min(r, s)
-                links.append((u, v))
-    return links
+                left.append(int(a.ids[u]))
+                right.append(int(b.ids[v]))
+    return left, right
 
 
-def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Joins the block pairs of a partition, which come one after another."""
-
-    def join(rows: list[tuple[int, int, bytes]], own: tuple[int, int]) -> tuple[list[int], list[int]]:
-        sides = []
-        for block in dict.fromkeys(own):
-            ids, sets = [], []
-            for i, _, s in sorted((r for r in rows if r[1] == block), key=lambda r: (len(r[2]), r[0])):
-                ids.append(i)
-                sets.append(np.frombuffer(s, np.uint64))
-            sides.append((ids, SignatureTree(sets) if sets else None))
-        (ids_a, a), (ids_b, b) = sides[0], sides[-1]
-        found = tree_join(a, b, own[0] == own[1], percent) if a and b else []
-        return [ids_a[u] for u, _ in found], [ids_b[v] for _, v in found]
+def _block_pairs(batches: Iterator[pa.RecordBatch], last: tuple[str, ...]) -> Iterator[tuple[int, list[list[tuple]]]]:
+    """(cluster, sides' rows of doc_id and ``last``) of the block pairs of a partition, which come one after another."""
+
+    def sides(own: tuple[int, int, int], rows: list[tuple]) -> list[list[tuple]]:
+        return [[r[1:] for r in rows if r[0] == block] for block in dict.fromkeys(own[1:])]
 
     current, rows = None, []
     for batch in batches:
-        names = ("cluster", "a", "b", "doc_id", "block", "shingles")
-        for cluster, a, b, doc, block, shingles in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+        names = ("cluster", "a", "b", "block", "doc_id", *last)
+        for cluster, a, b, *row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
             if (cluster, a, b) != current:
                 if rows:
-                    u, v = join(rows, current[1:])
-                    yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                    yield current[0], sides(current, rows)
                 current, rows = (cluster, a, b), []
-            rows.append((doc, block, shingles))
+            rows.append(tuple(row))
     if rows:
-        u, v = join(rows, current[1:])
+        yield current[0], sides(current, rows)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The sets of each cluster that may link with another by their bitmaps and sizes."""
+    for cluster, rows in _block_pairs(batches, ("n_shingles", "bits")):
+        if not all(rows):
+            continue
+        sides = [Side(*(list(c) for c in zip(*r, strict=True))) for r in rows]
+        may = [np.zeros(len(side.ids), bool) for side in sides]
+        for u, v in side_pairs(sides[0], sides[-1], percent):
+            may[0][u] = True
+            may[-1][v] = True
+        ids = np.concatenate([side.ids[m] for side, m in zip(sides, may, strict=True)])
+        if len(ids):
+            yield pa.record_batch([pa.array(ids), pa.array(np.full(len(ids), cluster))], names=["doc_id", "cluster"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of the block pairs of a partition."""
+    for _, rows in _block_pairs(batches, ("shingles",)):
+        if not all(rows):
+            continue
+        sets = [[np.frombuffer(s, np.uint64) for _, s in r] for r in rows]
+        sides = [Side([i for i, _ in r], [len(s) for s in own], [bitmap(s) for s in own]) for r, own in zip(rows, sets, strict=True)]
+        u, v = _linked_pairs(sides[0], sides[-1], sets[0], sets[-1], percent)
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
@@ -237,9 +291,9 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, id_col: s
                 if full.any():
                     low[0, full] = np.add.reduceat(_mix(shingles ^ MIX_B), at[:-1][full])
                     low[1, full] = np.bitwise_xor.reduceat(_mix(shingles + MIX_A), at[:-1][full])
-                yield pa.record_batch([b.column("doc_id").slice(first, len(n)), pa.array(n), pa.array(low[0].view(np.int64)), pa.array(low[1].view(np.int64))], names=["doc_id", "n_shingles", "s", "x"])
+                yield pa.record_batch([b.column("doc_id").slice(first, len(n)), pa.array(n), pa.array(low[0].view(np.int64)), pa.array(low[1].view(np.int64)), pa.array([bitmap(shingles[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "n_shingles", "s", "x", "bits"])
 
-    sets = checkpointed(rows.mapInArrow(summed, "doc_id long, n_shingles long, s long, x long"))
+    sets = written(rows.mapInArrow(summed, "doc_id long, n_shingles long, s long, x long, bits binary"), "sets")
     equal = ["n_shingles", "s", "x"]
     whole = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     firsts = checkpointed(whole.groupBy(*equal).agg(F.min("doc_id").alias("first")))
@@ -288,16 +342,16 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, id_col: s
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(shingles))])
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, n) for c in ("doc_id", "cluster", "block", "others")), raw], names=["doc_id", "cluster", "block", "others", "shingles"])
 
-    meeting = (
-        rows.join(dealt, "doc_id")
-        .select("doc_id", "cluster", "block", "others", "text")
-        .mapInArrow(packed, "doc_id long, cluster long, block long, others array<long>, shingles binary")
-        .withColumn("other", F.explode("others"))
-        .select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "doc_id", "block", "shingles")
-        .repartition("cluster", "a", "b")
-        .sortWithinPartitions("cluster", "a", "b")
-    )
-    links = meeting.mapInArrow(lambda batches: _block_links(batches, percent), "u long, v long")
+    def meeting(of: DataFrame, *last: str) -> DataFrame:
+        pairs = of.withColumn("other", F.explode("others")).select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "doc_id", "block", *last)
+        return pairs.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
+
+    # bitmaps meet first, a hundredth of the sets' bytes; only sets that may link are sent whole
+    thin = meeting(sets.select("doc_id", "n_shingles", "bits").where("n_shingles > 0").join(dealt, "doc_id"), "n_shingles", "bits")
+    may = checkpointed(thin.mapInArrow(lambda batches: _candidates(batches, percent), "doc_id long, cluster long").distinct())
+    dealt = checkpointed(dealt.join(may, ["doc_id", "cluster"], "left_semi"))
+    whole_sets = rows.join(dealt, "doc_id").select("doc_id", "cluster", "block", "others", "text").mapInArrow(packed, "doc_id long, cluster long, block long, others array<long>, shingles binary")
+    links = meeting(whole_sets, "shingles").mapInArrow(lambda batches: _block_links(batches, percent), "u long, v long")
     found = connected_components(links)
     first_of = checkpointed(firsts.join(found, F.col("first") == F.col("node"), "left").select(*[F.col(c).alias(f"_{c}") for c in equal], F.coalesce("component", "first").alias("component")))
     same = (F.col("n_shingles") == F.col("_n_shingles")) & (F.col("s") == F.col("_s")) & (F.col("x") == F.col("_x"))
