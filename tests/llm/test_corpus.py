@@ -196,3 +196,27 @@ def test_pipeline_keeps_columns(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns
     assert c.run(spark, "/root/testdata/sf0.001").where(F.col("length") > 2048).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_similar_sets_share_a_key_and_pass_the_bitmaps(percent):
+    from tessera.llm.near_dedup import Side, bitmap, segment_keys, side_pairs
+
+    rng = np.random.default_rng(percent)
+    sets = []
+    for size in [1, 2, 3, 4, 5, 9, 15, 20, 28, 31, 33, 36, 64, 65, 127, 300, 900]:
+        base = rng.integers(0, 1 << 63, size, np.uint64)
+        for changed in {0, 1, size // 20, size // 12, size // 6, size // 3}:
+            fresh = rng.integers(0, 1 << 63, changed, np.uint64)
+            sets += [np.unique(np.concatenate([base[changed:], fresh])), np.unique(np.concatenate([base, fresh]))]
+            sets.append(np.unique(base[changed:]))
+    sets = [s for s in sets if len(s)]
+    keys = [set(segment_keys(s, percent).tolist()) for s in sets]
+    a, b = (Side(list(range(len(sets))), [len(s) for s in sets], [bitmap(s) for s in sets]) for _ in range(2))
+    own = {(min(u, v), max(u, v)) for us, vs in side_pairs(a, a, percent) for u, v in zip(us.tolist(), vs.tolist())}
+    across = {(u, v) for us, vs in side_pairs(a, b, percent) for u, v in zip(us.tolist(), vs.tolist())}
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                assert keys[i] & keys[j] and (j, i) in own and {(i, j), (j, i)} <= across
