@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.language import keep_known_languages
 from tessera.llm.line_dedup import dedup_lines
-from tessera.llm.mixing import mixed_documents
+from tessera.llm.mixing import mixed_documents, quality_weights
 from tessera.llm.near_dedup import drop_near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.storage import new_folder
@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixed_documents(docs)
+    """Documents as often as the mix takes them; those labelled good go first twice as readily."""
+    return mixed_documents(docs, weight=quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,11 @@ def exponential_key(id_column: Column, weight: Column, seed: str) -> Column:
     return -F.log((bits + 0.5) / F.lit(float(1 << 48))) / weight
 
 
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """``doc_id, weight``: twice the weight for documents labelled good (``quality`` 1); the others weigh 1."""
+    return labels.groupBy("doc_id").agg((F.lit(1.0) + F.max("quality")).alias("weight"))
+
+
 def source_targets(sizes: DataFrame, cycle: tuple[float, ...], share: float, most: float) -> DataFrame:
     """``sizes`` (source, source_size, rows: one row per source) with ``target``.
 

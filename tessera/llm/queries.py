@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.language import identify_languages
 from tessera.llm.line_dedup import dedup_lines
-from tessera.llm.mixing import mix_sources
+from tessera.llm.mixing import mix_sources, quality_weights
 from tessera.llm.near_dedup import jaccard_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
@@ -46,9 +46,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _table(spark, sf_dir, "labels")
-    weight = labels.groupBy("doc_id").agg((F.lit(1.0) + F.max("quality")).alias("weight"))
-    mixed = mix_sources(_table(spark, sf_dir, "documents"), weight=weight)
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), weight=quality_weights(_table(spark, sf_dir, "labels")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
