@@ -359,6 +359,6 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, id_col: s
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns as they are, of the document with the smallest id in each group."""
+    """The rows of ``docs``, columns as they are, of the document with the smallest id in each group; rows with a null id link with nothing and all stay."""
     stay = jaccard_groups(docs, words, percent, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col(id_col) == F.col("_stays"), "left_semi")
+    return docs.join(stay, F.col(id_col) == F.col("_stays"), "left_semi").union(docs.where(F.col(id_col).isNull()))
