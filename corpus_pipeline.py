@@ -17,6 +17,9 @@ from tessera.llm.near_dedup import drop_near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.storage import new_folder
 
+#: A character other than white space, controls and format marks.
+VISIBLE = r"[^\p{Z}\p{Cc}\p{Cf}]"
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a posterior of one half or more."""
@@ -24,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that earlier documents have; a document left with no line goes."""
-    cut = dedup_lines(docs).where((F.col("n_dropped") < F.col("n_lines")) | (F.col("n_lines") == 0))
+    """Texts without the lines that earlier documents have; a document left with nothing visible goes."""
+    cut = dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(VISIBLE))
     return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
