@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import settled
 
-def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """``src, dst, hops``: pairs within ``depth`` hops, at their smallest number of hops. Only new pairs are joined on."""
-    step = edges.select("src", "dst").distinct()
-    reached = step.withColumn("hops", F.lit(1))
-    front = reached
+
+def closure(edges: DataFrame, depth: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """``src, dst, hops``: pairs within ``depth`` hops (all, without a depth), at their smallest number of hops.
+
+    Only pairs found in the last step are joined on, and each step is settled; it ends when a step finds nothing new. ``sources``
+    (one column) limits where ways begin.
+    """
+    step = settled(edges.select("src", "dst").distinct())
     on = step.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-    for hops in range(2, depth + 1):
+    front = step if sources is None else step.join(sources.toDF("src"), "src", "left_semi")
+    reached = front = settled(front.withColumn("hops", F.lit(1)))
+    hops = 1
+    while (depth is None or hops < depth) and front.take(1):
+        hops += 1
         onward = front.join(on, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst")).distinct()
-        front = onward.join(reached.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops))
+        front = settled(onward.join(reached.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
         reached = reached.unionByName(front)
     return reached
 

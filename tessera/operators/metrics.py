@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import order_statistics
+
 #: Upper bounds of the cumulative duration histogram; fixed values of the exported format.
 BUCKETS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
 
@@ -25,9 +27,11 @@ def rollup_by(events: DataFrame, unit: str, time_col: str, value_col: str, faile
     )
 
 
-def recurring_patterns(errors: DataFrame, keys: list[str], least: int = 3, hours: int = 24) -> DataFrame:
-    """Combinations of ``keys`` seen ``least`` times or more, with their rate per hour of the window."""
-    return errors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).withColumn("per_hour", r6(F.col("n") / hours))
+def recurring_patterns(errors: DataFrame, keys: list[str], time_col: str, least: int = 3, hours: int = 24) -> DataFrame:
+    """Combinations of ``keys`` seen ``least`` times or more in the ``hours`` before the newest error, with their number per hour."""
+    newest = errors.agg(F.max(time_col).alias("newest"))  # one row
+    recent = errors.select(*keys, time_col).crossJoin(F.broadcast(newest)).where(F.col(time_col) >= F.col("newest") - F.expr(f"interval {hours} hours"))
+    return recent.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).withColumn("per_hour", r6(F.col("n") / hours))
 
 
 def top_signatures(errors: DataFrame, signature: Column, top: int) -> DataFrame:
@@ -44,7 +48,7 @@ def success_rates(events: DataFrame, keys: list[str], failed: Column) -> DataFra
 
 def trend(events: DataFrame, key: str, order: list[str], value_col: str) -> DataFrame:
     """Per key: peak, average, minimum, slope over the row number divided by the average, and population deviation."""
-    numbered = events.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("double"))
+    numbered = events.select(key, value_col, *order).withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("double"))
     return numbered.groupBy(key).agg(
         r6(F.max(value_col)).alias("peak"),
         r6(F.avg(value_col)).alias("average"),
@@ -56,11 +60,14 @@ def trend(events: DataFrame, key: str, order: list[str], value_col: str) -> Data
 
 def value_statistics(events: DataFrame, key: str, value_col: str) -> DataFrame:
     """Mean, median, range, sample deviation and interpolated percentiles per key."""
-    v = F.col(value_col)
-    return events.groupBy(key).agg(
-        F.count(v).alias("n"), r6(F.avg(v)).alias("mean"), r6(F.median(v)).alias("median"), r6(F.min(v)).alias("low"), r6(F.max(v)).alias("high"),
-        r6(F.stddev_samp(v)).alias("deviation"), r6(F.percentile(v, F.lit(0.95))).alias("p95"), r6(F.percentile(v, F.lit(0.99))).alias("p99"),
-    )
+    v, shares = F.col(value_col), {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    plain = events.groupBy(key).agg(F.count(v).alias("n"), r6(F.avg(v)).alias("mean"), r6(F.min(v)).alias("low"), r6(F.max(v)).alias("high"), r6(F.stddev_samp(v)).alias("deviation"))
+    place = lambda q: (F.col("n") - 1) * F.lit(q)
+    both = {f"{name}_{side.__name__}": side(place(q)) for name, q in shares.items() for side in (F.floor, F.ceil)}
+    found = order_statistics(events, key, value_col, both)
+    between = lambda name, q: r6(F.col(f"{name}_floor") + (F.col(f"{name}_ceil") - F.col(f"{name}_floor")) * (place(q) - F.floor(place(q)))).alias(name)
+    placed = found.select(F.col(key).alias("of"), *[between(name, q) for name, q in shares.items()])
+    return plain.join(placed, F.col(key).eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def cumulative_histogram(events: DataFrame, key: str, value_col: str) -> DataFrame:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import settled
+
 
 def simple_paths(edges: DataFrame, depth: int) -> DataFrame:
     """``path``: arrays of 2 to ``depth`` + 1 nodes along the edges, none twice."""
-    step = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).where("_from <> _to").distinct()
+    step = settled(edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).where("_from <> _to").distinct())
     front = step.select(F.array("_from", "_to").alias("path"))
     found = front
     for _ in range(depth - 1):
         onward = front.join(step, F.element_at("path", -1) == F.col("_from")).where(~F.array_contains("path", F.col("_to")))
-        front = onward.select(F.array_append("path", F.col("_to")).alias("path"))
+        front = settled(onward.select(F.array_append("path", F.col("_to")).alias("path")))
+        if not front.take(1):
+            break
         found = found.unionByName(front)
     return found
 
@@ -31,12 +35,12 @@ def cycles(edges: DataFrame, depth: int) -> DataFrame:
 
 def topo_levels(edges: DataFrame, depth: int) -> DataFrame:
     """``node, level``: the longest way from a node without predecessors; a graph that is deeper (or has a cycle) is an error."""
-    step = edges.select("src", "dst").distinct()
+    step = settled(edges.select("src", "dst").distinct())
     front = step.select(F.col("src").alias("node")).distinct().join(step.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
     reached = front
     for level in range(1, depth + 2):
-        front = front.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(level))
-        if level > depth:
+        front = settled(front.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(level)))
+        if level > depth or not front.take(1):
             break
         reached = reached.unionByName(front)
     deeper = F.when(F.col("level") > depth, F.raise_error(F.lit("the graph is deeper than allowed or has a cycle")).cast("int")).otherwise(F.col("level"))

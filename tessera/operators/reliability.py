@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.metrics import r6
+from tessera.operators.tables import order_statistics
 
 
 def circuit_states(events: DataFrame, key: str, order: list[str], failed: Column, threshold: int) -> DataFrame:
@@ -43,12 +44,10 @@ def trailing(events: DataFrame, time_col: str, value_col: str, failed: Column, h
     )
 
 
-def nearest_percentiles(rows: DataFrame, key: str, value_col: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles at position ``int(n * share)`` of the sorted values (0-based), not interpolated; nulls don't count."""
-    own = Window.partitionBy(key)
-    ranked = rows.where(F.col(value_col).isNotNull()).select(key, value_col, F.row_number().over(own.orderBy(value_col)).alias("_i"), F.count(F.lit(1)).over(own).alias("_n"))
-    at = {name: F.least(F.floor(F.col("_n") * share) + 1, F.col("_n")) for name, share in shares.items()}
-    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("_i") == p, F.col(value_col))).alias(name) for name, p in at.items()])
+def nearest_percentiles(rows: DataFrame, key: str, value_col: str, shares: dict[str, float], least: int = 1) -> DataFrame:
+    """Percentiles at position ``int(n * share)`` of the sorted values (0-based), not interpolated; nulls don't count. Keys with fewer than ``least`` values have none."""
+    at = {name: F.least(F.floor(F.col("n") * share), F.col("n") - 1) for name, share in shares.items()}
+    return order_statistics(rows, key, value_col, at).where(F.col("n") >= least).drop("n")
 
 
 def against_baseline(rows: DataFrame, key: str, value_col: str, current: Column) -> DataFrame:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import shell_regex
+
 #: Most standards that are sent to every executor; beyond, the join goes without a broadcast.
 BROADCAST_ROWS = 10_000
 # Factors of a standard's priority, of a session's phase and of its user's level.
@@ -24,12 +26,6 @@ def factor(value: Column, factors: dict[str, float]) -> Column:
     return out
 
 
-def glob_as_regex(glob: Column) -> Column:
-    """A column of shell patterns (``*`` and ``?``, which also match ``/``) as regular expressions."""
-    quoted = F.regexp_replace(glob, r"([.^$+(){}|\[\]\\])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit("$"))
-
-
 def relevance(path: Column, category: Column, tags: Column, globs: Column, priority: Column) -> Column:
     """Score of a standard for a path: folder 1, pattern 0.8, part of a folder 0.6, tag anywhere 0.4; times the priority's factor."""
     parts = F.split(F.lower(path), "/+")
@@ -37,7 +33,7 @@ def relevance(path: Column, category: Column, tags: Column, globs: Column, prior
     name = F.element_at(F.split(path, "/"), -1)
     cat = F.lower(F.coalesce(category, F.lit("")))
     tag = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(t))
-    match = lambda g: F.rlike(path, glob_as_regex(g)) | F.rlike(name, glob_as_regex(g))
+    match = lambda g: F.rlike(path, shell_regex(g)) | F.rlike(name, shell_regex(g))
     score = (
         F.when((cat != "") & F.array_contains(folders, cat), 1.0)
         .when(F.arrays_overlap(tag, folders), 1.0)
@@ -52,12 +48,20 @@ def relevance(path: Column, category: Column, tags: Column, globs: Column, prior
 def relevant_standards(files: DataFrame, standards: DataFrame, path_col: str) -> DataFrame:
     """Pairs of a file and a standard (``category, tags, globs, priority``) with a positive score.
 
-    The patterns make this a join without an equality, so it costs files times standards; standards are broadcast
-    if there are at most ``BROADCAST_ROWS`` of them.
+    Up to ``BROADCAST_ROWS`` standards are sent to every executor. Beyond, what asks for a folder's whole name is an equi-join on the path's
+    folders; patterns and parts of names are no equality, so for these each block of files meets each block of standards, files times standards.
     """
-    few = standards.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     score = relevance(F.col(path_col), F.col("category"), F.col("tags"), F.col("globs"), F.col("priority"))
-    return files.join(F.broadcast(standards) if few else standards, score > 0).withColumn("score", score)
+    if standards.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return files.join(F.broadcast(standards), score > 0).withColumn("score", score)
+    parts = F.split(F.lower(path_col), "/+")
+    names = F.filter(F.array_union(F.array(F.lower("category")), F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)), lambda x: x != "")
+    held = files.withColumn("folder", F.explode(F.array_distinct(F.slice(parts, F.lit(1), F.size(parts) - 1))))
+    named = standards.withColumn("named", F.explode(names))
+    whole = held.join(named, F.col("folder") == F.col("named")).drop("folder", "named").distinct().withColumn("score", score)
+    # the rest: pairs without a whole folder name in common that score by a pattern or a part of a name
+    rest = files.join(standards, (score > 0) & ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), names)).withColumn("score", score)
+    return whole.unionByName(rest)
 
 
 def session_budget(budget: Column, phase: Column, level: Column) -> Column:

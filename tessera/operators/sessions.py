@@ -1,15 +1,17 @@
-"""Ordered analytics: budgets, sessions, last rows, visit counts and pages."""
+"""Ordered analytics: budgets, sessions, last rows, visit counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import running_total
+
 
 def budget_prefix(rows: DataFrame, key: str, order: list[Column], tokens: Column, budget: int) -> DataFrame:
-    """Per key, the rows in order as long as their running total stays within the budget."""
-    running = F.sum(tokens).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("running", running).where(F.col("running") <= budget)
+    """Per key, the rows in order as long as their running total (``running``) stays within the budget."""
+    totals = running_total(rows, key, order, tokens, "before")
+    return totals.withColumn("running", F.col("before") + tokens).drop("before").where(F.col("running") <= budget)
 
 
 def last_rows(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
@@ -27,15 +29,3 @@ def gap_sessions(rows: DataFrame, key: str, time_col: str, tie: str, gap_seconds
     own = Window.partitionBy(key).orderBy(time_col, tie)
     fresh = F.when(F.unix_micros(F.col(time_col).cast("timestamp")) - F.lag(F.unix_micros(F.col(time_col).cast("timestamp"))).over(own) > gap_seconds * 1_000_000, 1).otherwise(0)
     return rows.withColumn("_fresh", fresh).withColumn("session", F.sum("_fresh").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "session").agg(F.min(time_col).alias("started"), F.max(time_col).alias("ended"), F.count(F.lit(1)).alias("n"))
-
-
-def pages(rows: DataFrame, partition: str, key: str, tokens: Column, budget: int) -> DataFrame:
-    """A stable page number per row: pages of a partition follow the key and start anew at each multiple of the budget."""
-    running = F.sum(tokens).over(Window.partitionBy(partition).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("page", F.floor(F.coalesce(running, F.lit(0)) / budget).cast("long"))
-
-
-def next_page(rows: DataFrame, key: str, cursor: object, size: int) -> DataFrame:
-    """Keyset paging: the first ``size`` rows after the cursor; no cursor starts at the beginning."""
-    after = rows if cursor is None else rows.where(F.col(key) > F.lit(cursor))
-    return after.orderBy(key).limit(size)

@@ -1,3 +1,4 @@
 """Registered queries with their SQL oracles, and computed fields."""
 
-from tessera.plans import registry, workflow_queries  # noqa: F401  (the second adds its queries to the first)
+from tessera.plans import registry, workflow_queries  # noqa: F401  (each module adds its queries to the registry's)
+from tessera.plans import analytics_queries, code_queries, expression_queries, rule_queries, state_queries  # noqa: F401

@@ -48,11 +48,11 @@ def metrics_daily(spark, d):
     return metrics.rollup_by(table(spark, d, "events"), "day", "ts", "value", failed()).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-@query("""SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n, round(count(*) / 24.0::DOUBLE, 6) AS per_hour FROM events
-    WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 3""")
+@query("""SELECT user_id, count(*) AS n, round(count(*) / 240.0::DOUBLE, 6) AS per_hour FROM events
+    WHERE event_type = 'error' AND ts >= (SELECT max(ts) FROM events WHERE event_type = 'error') - INTERVAL 240 HOUR GROUP BY 1 HAVING count(*) >= 3""")
 def error_patterns(spark, d):
-    errors = table(spark, d, "events").where(failed()).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    return metrics.recurring_patterns(errors, ["user_id", "hour"])
+    errors = table(spark, d, "events").where(failed())
+    return metrics.recurring_patterns(errors, ["user_id"], "ts", hours=240)
 
 
 @query("""SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) FILTER (WHERE value < 50) AS low, count(*) FILTER (WHERE value >= 50) AS high FROM events WHERE event_type = 'error' GROUP BY 1""")
@@ -97,26 +97,28 @@ def histogram_cumulative(spark, d):
     return metrics.cumulative_histogram(table(spark, d, "events"), "event_type", "value")
 
 
-def code_sql(c: str) -> str:
-    return "(" + " + ".join(f"coalesce(regexp_matches({c}, '{p}'), false)::INT" for p in T.CODE) + ")"
+# The 14 signs of code, written out for SQL.
+_SIGNS = ("function[ \\t\\n\\r\\f\\v]+[0-9A-Za-z_]+", "const[ \\t\\n\\r\\f\\v]+[0-9A-Za-z_]+", "import[ \\t\\n\\r\\f\\v]+.*from", "export[ \\t\\n\\r\\f\\v]+", "class[ \\t\\n\\r\\f\\v]+[0-9A-Za-z_]+", "interface[ \\t\\n\\r\\f\\v]+[0-9A-Za-z_]+",
+    "type[ \\t\\n\\r\\f\\v]+[0-9A-Za-z_]+", "[{][ \\t\\n\\r\\f\\v]*[^}]*[}]")
+
+
+def _code_sql(c: str) -> str:
+    by_pattern = [f"coalesce(regexp_matches({c}, '{p}'), false)::INT" for p in (s.replace("\\\\", "\\") for s in _SIGNS)]
+    any_bracket = " OR ".join(f"contains({c}, '{x}')" for x in "[](){}")
+    by_text = [f"coalesce(contains({c}, '{x}'), false)::INT" for x in ("=>", "==", "!=", "//", "/*")]
+    return "(" + " + ".join([*by_pattern, f"coalesce({any_bracket}, false)::INT", *by_text]) + ")"
 
 
-@query(f"""SELECT doc_id, floor(floor(length(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g')) ) / 4.0::DOUBLE) * CASE WHEN {code_sql("text")} >= 3 THEN 1.2::DOUBLE ELSE 0.9::DOUBLE END)::BIGINT AS tokens FROM documents""")
+@query(f"""SELECT doc_id, floor(floor(length(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g')) ) / 4.0::DOUBLE) * CASE WHEN {_code_sql("text")} >= 3 THEN 1.2::DOUBLE ELSE 0.9::DOUBLE END)::BIGINT AS tokens FROM documents""")
 def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(f"SELECT page_id, ({code_sql("html")})::INT AS indicators, {code_sql("html")} >= 3 AS code FROM pages")
+@query(f"SELECT page_id, ({_code_sql('html')})::INT AS indicators, {_code_sql('html')} >= 3 AS code FROM pages")
 def is_code(spark, d):
     return table(spark, d, "pages").select("page_id", T.code_indicators(F.col("html")).alias("indicators"), T.is_code(F.col("html")).alias("code"))
 
 
-@query("""SELECT doc_id, lang, floor(coalesce(sum(n_chars // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000)::BIGINT AS page FROM documents""")
-def cursor_page(spark, d):
-    docs = table(spark, d, "documents")
-    return sessions.pages(docs, "source", "doc_id", F.floor(F.col("n_chars") / 4), 20_000).select("doc_id", "lang", "page")
-
-
 @query("""SELECT doc_id, running::BIGINT AS running FROM (SELECT doc_id, sum(n_chars // 4) OVER (PARTITION BY lang ORDER BY quality DESC, doc_id ROWS UNBOUNDED PRECEDING) AS running
     FROM documents JOIN labels USING (doc_id)) WHERE running <= 50000""")
 def budget_prefix(spark, d):
@@ -158,7 +160,7 @@ def link_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(T.links(F.col("html"))).alias("target"))
 
 
-@query(f"SELECT page_id, url FROM pages WHERE regexp_matches(url, '{T.glob_regex('https://**/*{1,3,5,7,9}*')}')")
+@query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://') AND regexp_matches(string_split(substring(url, 9), '/')[-1], '[13579]')")
 def path_filter_glob(spark, d):
     return table(spark, d, "pages").where(F.col("url").rlike(T.glob_regex("https://**/*{1,3,5,7,9}*"))).select("page_id", "url")
 

@@ -148,14 +148,11 @@ def expr_arrays(spark, d):
     )
 
 
-_KINDS = " ".join(f"WHEN regexp_matches(line, '{p}'){' AND NOT comment' if k == 'usage' else ''} THEN '{k}'" for k, p, _ in ((k, p.replace("'", "''"), c) for k, p, c in code.reference_patterns("track")))
-
-
-@query(f"""WITH s AS (SELECT page_id, string_split(html, chr(10)) AS v FROM pages), l AS (SELECT page_id, unnest(range(1, len(v) + 1)) AS line_no, unnest(v) AS line FROM s),
-    c AS (SELECT *, starts_with(ltrim(line), '//') OR regexp_matches(line, '^\\s*import\\s') AS comment FROM l WHERE contains(line, 'track')), k AS (SELECT page_id AS file, line_no, CASE {_KINDS} END AS kind FROM c)
-    SELECT file, line_no, kind FROM k WHERE kind IS NOT NULL""")
+@query("""WITH s AS (SELECT page_id, string_split(html, chr(10)) AS v FROM pages), l AS (SELECT page_id, unnest(range(1, len(v) + 1)) AS line_no, unnest(v) AS line FROM s)
+    SELECT page_id AS file, line_no, CASE WHEN contains(line, '.track(') THEN 'call' ELSE 'usage' END AS kind, CASE WHEN contains(line, '.track(') THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM l WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])track[(]')""")
 def find_references(spark, d):
-    return code.references(table(spark, d, "pages"), "page_id", "html", "track").select("file", "line_no", "kind")
+    """Where pages' scripts call a function."""
+    return code.references(table(spark, d, "pages"), "page_id", "html", "track").select("file", "line_no", "kind", "confidence")
 
 
 @query("SELECT CASE WHEN n_chars < 1024 THEN 'small' WHEN n_chars < 102400 THEN 'medium' ELSE 'large' END AS size, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: ``file(line,column): severity TSnnnn: message`` as the TypeScript compiler prints it.
-TSC = r"^(.+?)\((\d+),(\d+)\): (error|warning) (TS\d+): (.*)$"
+#: ``file(line,column): severity TSnnnn: message`` as the TypeScript compiler prints it, with any white space around its parts.
+TSC = r"^\s*(\S.*?)\((\d+),(\d+)\):\s*(error|warning)\s+(TS\d+):\s*(.*?)\s*$"
 LINT = "array<struct<filePath:string,messages:array<struct<line:int,column:int,severity:int,ruleId:string,message:string,fix:struct<text:string>>>>>"
 
 

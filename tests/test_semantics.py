@@ -11,6 +11,9 @@ from tessera.operators import reliability, retrieval
 
 def test_numbers(spark):
     rows = spark.createDataFrame([("12", 2.0), ("", 0.0), (None, 5.0), ("x", 1.0)], "s string, v double")
+    odd = spark.createDataFrame([(x,) for x in ("1e3", "1d", "\t", " 7\n", "1.5e2", ".5", "1_000", "-3.", "inf")], "s string").select(X.to_number(F.col("s")).alias("n")).collect()
+    assert [None if math.isnan(r.n) else r.n for r in odd] == [None, None, 0.0, 7.0, 150.0, 0.5, 1000.0, -3.0, None]
+    assert rows.select(X.less(F.lit(None).cast("double"), F.lit(1)).alias("x")).first().x is True
     got = rows.select(X.to_number(F.col("s")).alias("n"), X.less(F.col("v"), X.to_number(F.col("s"))).alias("less"), X.divide(X.to_number(F.col("s")), F.col("v")).alias("q")).collect()
     assert [r.n for r in got[:3]] == [12.0, 0.0, 0.0] and math.isnan(got[3].n)
     assert [r.less for r in got] == [True, False, False, False]

@@ -13,7 +13,7 @@ def test_budget_skip_goes_on_after_a_row_that_does_not_fit(spark):
 
 
 def test_relevance_ladder(spark):
-    cases = [("src/api/a.ts", "api", [], [], "required", 1.2), ("src/a.ts", "x", ["src"], [], "important", 1.1), ("src/a.ts", "x", [], ["*.ts"], None, 0.8), ("my-api/a.ts", "api", [], [], "other", 0.6), ("src/login.ts", "", ["LOGIN"], [], None, 0.4), ("a[1].ts", None, None, ["a[1].t?"], None, 0.8), ("a.ts", "", None, None, None, 0.0)]
+    cases = [("src/api/a.ts", "api", [], [], "required", 1.2), ("src/a.ts", "x", ["src"], [], "important", 1.1), ("src/a.ts", "x", [], ["*.ts"], None, 0.8), ("my-api/a.ts", "api", [], [], "other", 0.6), ("src/login.ts", "", ["LOGIN"], [], None, 0.4), ("a1.ts", None, None, ["a[1].t?"], None, 0.8), ("a[1].ts", None, None, ["a[1].t?"], None, 0.0), ("a.ts", "", None, None, None, 0.0)]
     rows = spark.createDataFrame(cases, "path string, category string, tags array<string>, globs array<string>, priority string, want double")
     got = rows.select("path", "want", retrieval.relevance(*[F.col(c) for c in ("path", "category", "tags", "globs", "priority")]).alias("score")).collect()
     for r in got:
