@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import checkpointed
+from tessera.llm.storage import checkpointed, unused
 
 
 def frequent_digests(digests: DataFrame, winners: int, counters: int, fan_in: int = 256) -> DataFrame:
@@ -81,6 +81,11 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose document stays (ids are taken as unique)."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi")
+    """The rows of ``docs``, all columns as they are, whose document stays: of equal texts those with the largest id.
+
+    Rows with a null id stay only where no row with an id has their text. Repeated rows of an id and text stay or go together.
+    """
+    digest, own = unused(docs, "digest"), unused(docs, "own")
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(digest)).distinct()
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    return docs.join(kept, (sha == F.col(digest)) & F.col(id_col).eqNullSafe(F.col(own)), "left_semi")

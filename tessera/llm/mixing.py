@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import checkpointed
+from tessera.llm.storage import checkpointed, unused
 
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -130,18 +130,13 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken (0 to ``most`` times), columns as they are.
+    """The mix itself: each row of ``docs`` as often as it is taken (0 to ``most`` times), columns as they are, whatever their names.
 
-    Documents are taken whole. A text without words costs nothing and is taken once.
+    Documents are taken whole. A null, empty or blank text costs nothing and is taken once. Rows with a null id are one document,
+    as are repeated rows of an id: each is taken as often as the one that is taken most. An empty table gives no rows.
     """
+    own, times, nth = (unused(docs, x) for x in ("own", "times", "nth"))
     taken = mix_sources(docs, id_col, text_col, source_col, whole=True, **options)
-    copies = taken.groupBy(F.col("doc_id").alias("_mix_id")).agg(
-        F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")).alias("_mix_copies")
-    )
-    names = docs.columns
-    return (
-        docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-        .where("_mix_copies > 0")
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-        .select(*names)
-    )
+    copies = taken.groupBy(F.col("doc_id").alias(own)).agg(F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")).alias(times))
+    both = docs.join(copies, F.col(id_col).eqNullSafe(F.col(own))).where(F.col(times) > 0)
+    return both.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -14,10 +14,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
+from tessera.llm.memory import frugal
 from tessera.llm.storage import checkpointed, written
 
 
@@ -116,86 +118,107 @@ def compare_leaf(own: int, ids: np.ndarray, weights: np.ndarray, vectors: np.nda
     return counts, low
 
 
+def _fitted(firsts: DataFrame, dim: int, total: int, trees: int, fit_rows: tuple[int, int], leaf_rows: int, margin: float) -> list[Tree]:
+    """A forest for the vectors of one length, fitted on a bounded sample: one in 32 of them, within ``fit_rows``."""
+    n = min(fit_rows[1], max(fit_rows[0], total // 32))
+    place = F.xxhash64(F.lit(11), "vec_id")
+    # about twice as many as needed lie below this bound, so few are ranked
+    bound = min(2**63 - 1, int(min(1.0, (2 * n + 64) / max(1, total)) * (2**64 - 1)) - 2**63)
+    sampled = firsts.where((F.size("v") == dim) & (place <= F.lit(bound))).orderBy(place, "vec_id").limit(n).select("v").toArrow().column("v")
+    sample = sampled.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim) if len(sampled) else np.zeros((0, dim))
+    sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+    per_leaf = max(16, int(leaf_rows * len(sample) / max(1, total)))
+    return [fit_tree(sample, t, per_leaf, margin) for t in range(trees)]
+
+
 def vector_groups(
     vectors: DataFrame,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     cosine: float = 0.9,
     trees: int = 6,
-    fit_rows: int = 16_384,
+    fit_rows: tuple[int, int] = (16_384, 131_072),
     leaf_rows: int = 512,
     spill: float = 0.25,
     block: int = 512,
+    most_lengths: int = 64,
 ) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
-    Vectors that are null, empty or zero, or that hold null or non-finite components, link with nothing; so do vectors of
-    another length than most. Equal vectors are compared once and count as links of each other. Of repeated ids
-    each row counts as a vector. Trees are fitted on a bounded sample of ``fit_rows`` vectors, chosen by a hash; all
-    vectors are dealt to leaves. ``spill`` is the margin as a part of the largest distance that links.
+    Vectors that are null, empty or zero, or that hold null or non-finite components, link with nothing; vectors of unlike lengths don't
+    link. Equal vectors are compared once and count as links of each other. Of repeated ids each row counts as a vector; a null id
+    links with nothing. An empty table gives no rows; other columns aren't read, whatever their names.
+    Each length has a forest, fitted on a bounded sample (one vector in 32, ``fit_rows`` at least and at most), and all
+    vectors are dealt to leaves; ``spill`` is the margin as a part of the largest distance that links. Lengths of ``leaf_rows`` vectors or
+    fewer, and those beyond the ``most_lengths`` most frequent, are one leaf each.
     Leaves of more than ``block`` vectors are compared in block pairs by several tasks: nothing is capped.
     """
     spark = vectors.sparkSession
-    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    source = vectors.schema[vector_col].dataType
+    single = getattr(getattr(source, "elementType", None), "typeName", lambda: "")() == "float"  # sent as they are, compared in double precision
+    kind, raw_type = ("float", np.float32) if single else ("double", np.float64)
+    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     good = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0) & (norm < float("inf")), F.lit(False))
-    keyed = written(raw.select("vec_id", F.when(good & F.col("vec_id").isNotNull(), F.col("v")).alias("v")).withColumns({"k": F.xxhash64("v"), "h": F.xxhash64(F.lit(7), "v"), "n": F.size("v")}), "vectors")
-    usual = keyed.where("v is not null").groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    dim = usual["n"] if usual else 0
-    valid = keyed.where(F.col("v").isNotNull() & (F.col("n") == dim))
+    keyed = written(raw.select("vec_id", F.when(good & F.col("vec_id").isNotNull(), F.col("v")).alias("v")).withColumns({"k": F.xxhash64("v"), "h": F.xxhash64(F.lit(7), "v")}), "vectors")
+    valid = keyed.where("v is not null")
     firsts = checkpointed(valid.groupBy("k", "h").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")))
-    sampled = firsts.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("v").toArrow().column("v")
-    sample = np.array(sampled.to_pylist(), float).reshape(-1, dim or 1)
-    sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
-    total = firsts.count()
-    margin = spill * np.sqrt(2 - 2 * cosine) / np.sqrt(dim or 1)
-    per_leaf = max(16, int(leaf_rows * len(sample) / max(1, total)))
-    forest = [fit_tree(sample, t, per_leaf, margin) for t in range(trees)] if len(sample) else []
-    bases = np.cumsum([0, *(t.leaves for t in forest)])
-    shared = spark.sparkContext.broadcast((forest, bases))
+    lengths = firsts.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > leaf_rows).orderBy(F.desc("c"), "n").limit(most_lengths).collect()
+    forests, base = {}, 0
+    for n, c in lengths:
+        margin = spill * np.sqrt(2 - 2 * cosine) / np.sqrt(n)
+        forest = _fitted(firsts, n, c, trees, fit_rows, leaf_rows, margin)
+        bases = base + np.cumsum([0, *(t.leaves for t in forest)])
+        forests[n], base = (forest, bases[:-1], margin), int(bases[-1])
+    shared = spark.sparkContext.broadcast(forests)  # directions of at most `trees` * `fit_rows` / 16 nodes for each length
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, bases = shared.value
         for b in batches:
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            rows, leaf = (np.concatenate(p) for p in zip(*((r, le + base) for t, base in zip(forest, bases, strict=False) for r, le in [leaves_of(t, x, margin)]), strict=True))
-            order = np.lexsort((leaf, rows))
-            rows, leaf = rows[order], leaf[order].astype(np.int32)
-            at = np.searchsorted(rows, np.arange(b.num_rows + 1))
-            listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(leaf))
-            unit = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((np.arange(b.num_rows + 1) * x.shape[1] * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("weight"), unit, listed], names=["vec_id", "weight", "unit", "leaves"])
+            column = b.column("v")
+            size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                own = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(raw_type).reshape(len(at), n)
+                if n in shared.value:
+                    forest, bases, margin = shared.value[n]
+                    x = own.astype(float)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    rows, leaf = (np.concatenate(p) for p in zip(*((r, le + first) for t, first in zip(forest, bases, strict=True) for r, le in [leaves_of(t, x, margin)]), strict=True))
+                else:
+                    rows, leaf = np.arange(len(at)), np.full(len(at), -1 - n)
+                order = np.lexsort((leaf, rows))
+                rows, leaf = rows[order], leaf[order].astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(at) + 1)).astype(np.int32)), pa.array(leaf))
+                sent = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * n * own.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(own))])
+                took = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(took) for c in ("k", "vec_id", "weight")), sent, listed], names=["k", "vec_id", "weight", "raw", "leaves"])
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own, a, b = key
         ids, weights = rows["vec_id"].to_numpy(), rows["weight"].to_numpy()
-        x = np.frombuffer(b"".join(rows["unit"]), float).reshape(len(rows), -1)
+        x = np.frombuffer(b"".join(rows["raw"]), raw_type).astype(float).reshape(len(rows), -1)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
         side = rows["part"].to_numpy()
         counts, low = compare_leaf(own, ids, weights, x, list(rows["leaves"]), np.flatnonzero(side == a), np.flatnonzero(side == b), a == b, cosine)
         out = (counts > 0) | (low != ids)
-        return pd.DataFrame({"vec_id": ids[out], "links": counts[out], "low": low[out]})
-
-    found_type = "vec_id long, links long, low long"
-    if forest:
-        dealt = firsts.select("vec_id", "weight", "v").mapInArrow(deal, "vec_id long, weight long, unit binary, leaves array<int>")
-        dealt = written(dealt, "dealt")
-        sizes = dealt.select(F.explode("leaves").alias("l")).groupBy("l").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-        # one row for each leaf; leaves number at most trees * fit_rows / 16 and their spill
-        placed = dealt.withColumn("leaf", F.explode("leaves")).join(F.broadcast(sizes), F.col("leaf") == F.col("l"), "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
-        meeting = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("leaf", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "vec_id", "weight", "unit", "leaves")
-        found = checkpointed(meeting.groupBy("leaf", "a", "b").applyInPandas(compare, found_type))
-    else:
-        found = spark.createDataFrame([], found_type)
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
+        return pd.DataFrame({"k": rows["k"].to_numpy()[out], "vec_id": ids[out], "links": counts[out], "low": low[out]})
+
+    found_type = "k long, vec_id long, links long, low long"
+    dealt = written(firsts.select("k", "vec_id", "weight", "v").mapInArrow(frugal(deal), "k long, vec_id long, weight long, raw binary, leaves array<int>"), "dealt")
+    sizes = dealt.select(F.explode("leaves").alias("l")).groupBy("l").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    few = base + most_lengths < 1_000_000  # a row for each leaf
+    placed = dealt.withColumn("leaf", F.explode("leaves")).join(F.broadcast(sizes) if few else sizes, F.col("leaf") == F.col("l"), "left").withColumn("part", F.pmod(F.xxhash64("k"), "parts").cast("int"))
+    meeting = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("leaf", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "k", "vec_id", "weight", "raw", "leaves")
+    found = checkpointed(meeting.groupBy("leaf", "a", "b").applyInPandas(compare, found_type))
+    links = found.groupBy("k").agg(F.sum("links").alias("links"))  # by vector: rows of a repeated id may hold several
     components = connected_components(found.select(F.col("vec_id").alias("u"), F.col("low").alias("v")))
     groups = checkpointed(
         firsts.select("k", "h", "vec_id", "weight")
-        .join(links, "vec_id", "left")
+        .join(links, "k", "left")
         .join(components, F.col("vec_id") == F.col("node"), "left")
         .select(F.col("k").alias("_k"), F.col("h").alias("_h"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     )
-    able = F.col("v").isNotNull() & (F.col("n") == dim)
+    able = F.col("v").isNotNull()
     return (
         keyed.select("vec_id", "k", "h", able.alias("able"))
         .join(groups, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")) & F.col("able"), "left")
