@@ -149,7 +149,7 @@ def expr_arrays(spark, d):
 
 
 @query("""WITH s AS (SELECT page_id, string_split(html, chr(10)) AS v FROM pages), l AS (SELECT page_id, unnest(range(1, len(v) + 1)) AS line_no, unnest(v) AS line FROM s)
-    SELECT page_id AS file, line_no, CASE WHEN contains(line, '.track(') THEN 'call' ELSE 'usage' END AS kind, CASE WHEN contains(line, '.track(') THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM l WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])track[(]')""")
+    SELECT page_id AS file, line_no, CASE WHEN contains(line, '.track(') THEN 'call' ELSE 'usage' END AS kind, CASE WHEN contains(line, '.track(') THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM l WHERE regexp_matches(line, '(^|[^A-Za-z0-9_$])track([^A-Za-z0-9_$]|$)')""")
 def find_references(spark, d):
     """Where pages' scripts call a function."""
     return code.references(table(spark, d, "pages"), "page_id", "html", "track").select("file", "line_no", "kind", "confidence")
