@@ -7,6 +7,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Each owner's way to drop what it keeps in this process.
 _KEPT: dict[str, Callable[[], None]] = {}
@@ -39,3 +40,10 @@ def frugal(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
         give_back()
 
     return run
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts go to Python in Arrow batches of so many rows, a tenth of Spark's default, unless the session has chosen its own."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(rows))
