@@ -3,7 +3,8 @@
 Documents are ordered by (hash of the text, id), so equal texts lie side by side. Splitters that cut this
 order into shards of equal bytes are found by probing: each round counts, over all partitions, the exact
 bytes below candidate boundaries, and asks finer probes where a splitter isn't yet within tolerance. When all
-are, the documents move once, each straight to its shard.
+are, the documents move once, each straight to its shard. Only the boundaries between shards are asked for, so what is
+sent doesn't grow with the data; a large shard's rows are dealt to several tasks by a hash.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import frugal
 from tessera.llm.storage import checkpointed
 
 #: Keys are 128 bits: the text's hash above the id, both shifted to be unsigned.
@@ -44,7 +46,7 @@ def _unsigned(values: pa.Array) -> np.ndarray:
 
 
 def find_splitters(keys: DataFrame, pieces: int, tolerance: float, probes: int = 32, rounds: int = 24) -> list[int]:
-    """Boundaries of ``pieces`` pieces of about equal bytes in the order of (``h``, ``d``); ``size`` weighs.
+    """Boundaries of ``pieces`` shards of about equal bytes in the order of (``h``, ``d``); ``size`` weighs.
 
     Each round sends at most ``pieces * probes`` boundaries out and as many sums back. A splitter is done
     when the bytes below it are within ``tolerance`` of a piece of its goal, or no row lies between probes.
@@ -78,7 +80,7 @@ def find_splitters(keys: DataFrame, pieces: int, tolerance: float, probes: int =
 
         found = (
             keys.select("h", "d", "size")
-            .mapInArrow(count, "at long, size long, rows long")
+            .mapInArrow(frugal(count), "at long, size long, rows long")
             .groupBy("at")
             .agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"))
             .collect()  # a row for each probe at most
@@ -114,49 +116,42 @@ def shard_documents(
 ) -> DataFrame:
     """All documents as ``doc_id, text, size, shard, slot``; shards are of nearly equal bytes.
 
-    ``size`` is the text's UTF-8 bytes plus 16 (null: 16). Shards above ``piece_bytes`` are cut into pieces
-    that different tasks take, and ``slot`` counts on from piece to piece, gapless from 0 in each shard. Null
-    and empty texts share a hash. Repeated rows of an id lie side by side. An empty table gives no rows.
+    ``size`` is the text's UTF-8 bytes plus 16 (null: 16); a very long text is cut nowhere, so its shard may be larger by it.
+    The rows of shards above ``piece_bytes`` are dealt to several tasks, and ``slot`` counts on from piece to piece, gapless
+    from 0 in each shard. Null and empty texts share a hash. Ids of any type are ordered by a hash unless they are integers.
+    Equal texts lie side by side in the order and are parted only where a shard ends among them; of repeated rows that agree
+    in id and text all go to one shard. An empty table gives no rows; other columns aren't read, whatever their names.
     """
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    d = F.coalesce(F.col(id_col).cast("long"), F.lit(-_SIGN)) if whole else F.xxhash64(id_col)
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 16).alias("size"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"),
-        F.coalesce(F.col(id_col), F.lit(-_SIGN)).alias("d"),
+        d.alias("d"),
     )
     keys = checkpointed(sized.select("h", "d", "size"))
     total = keys.agg(F.sum("size")).first()[0] or 0
     per_shard = max(1, -(-total // (shards * piece_bytes)))
-    pieces = shards * per_shard
-    high, low = _key_parts_closed(find_splitters(keys, pieces, tolerance))
+    pieces = int(shards * per_shard)
+    high, low = _key_parts_closed(find_splitters(keys, shards, tolerance))
 
     @F.arrow_udf("int")
-    def piece(h: pa.Array, d: pa.Array) -> pa.Array:
+    def shard(h: pa.Array, d: pa.Array) -> pa.Array:
         return pa.array(_slots(_unsigned(h), _unsigned(d), high, low).astype(np.int32))
 
-    placed = sized.withColumn("piece", piece("h", "d"))  # the texts stay in the JVM
-    # one count for each piece: a few rows; small enough to give to all
-    counts = keys.mapInArrow(lambda batches: _count_pieces(batches, high, low), "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy(F.expr(f"p div {per_shard}")).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("p", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("base"))
+    piece = (F.col("shard") * F.lit(per_shard) + F.pmod(F.xxhash64("d", "h"), F.lit(per_shard))).cast("int")
+    placed = sized.withColumn("shard", shard("h", "d")).withColumn("piece", piece)  # the texts stay in the JVM
+    counts = keys.select("h", "d").withColumn("shard", shard("h", "d")).select("shard", piece.alias("p")).groupBy("shard", "p").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    bases = counts.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("piece").orderBy("h", "d")
-    return (
-        placed.repartitionById(pieces, F.col("piece"))
-        .withColumn("n", F.row_number().over(inside))
-        .join(F.broadcast(bases), F.col("piece") == F.col("p"), "left")
-        .select("doc_id", "text", "size", F.expr(f"cast(piece div {per_shard} as int)").alias("shard"), (F.col("base") + F.col("n") - 1).alias("slot"))
-    )
+    numbered = placed.repartitionById(pieces, F.col("piece")).withColumn("n", F.row_number().over(inside))
+    joined = numbered.join(F.broadcast(bases) if pieces <= 100_000 else bases, F.col("piece") == F.col("p"), "left")
+    return joined.select("doc_id", "text", "size", "shard", (F.col("base") + F.col("n") - 1).alias("slot"))
 
 
 def _key_parts_closed(splitters: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Splitters at the top of the key space keep every row below them."""
     return _key_parts([min(s, _TOP - 1) for s in splitters])
-
-
-def _count_pieces(batches: Iterator[pa.RecordBatch], high: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(len(high) + 1, dtype=np.int64)
-    for b in batches:
-        n += np.bincount(_slots(_unsigned(b.column(0)), _unsigned(b.column(1)), high, low), minlength=len(n))
-    at = np.flatnonzero(n)
-    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["p", "n"])
