@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.language import letter_runs
+from tessera.llm.memory import frugal, give_back, small_batches
+from tessera.llm.storage import written
 
 #: Longer words also count by their first letters, marked with a star.
 STEM = 4
@@ -118,19 +120,21 @@ def fit_toxicity(
 
     It is fitted on a bounded sample: the ``fit_rows`` labelled documents whose ids hash lowest, and for
     each category the ``terms`` terms, held by ``least`` documents or more, that tell it best (likelihood
-    ratio). A null label counts as 0. Without labels the chain gives 0 for each category.
+    ratio). A null label counts as 0. Without labels the chain gives 0 for each category. The sample is written
+    once; models of one link (the whole sample's and one for each fold) are fitted by tasks of their own.
     """
     chosen = labels.groupBy("doc_id").agg(*[F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)).alias(c) for c in categories])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", *categories)  # fit_rows thin rows
+    chosen = written(chosen, "toxicity-labels")  # fit_rows thin rows
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", *categories), "toxicity-sample")
     n = len(categories)
-    counts = (
+    counts = written(
         sample.select("text", *categories)
-        .mapInArrow(lambda batches: _term_counts(batches, n), "term string, n long, " + ", ".join(f"n{k} long" for k in range(n)))
+        .mapInArrow(frugal(lambda batches: _term_counts(batches, n), "toxicity"), "term string, n long, " + ", ".join(f"n{k} long" for k in range(n)))
         .groupBy("term")
         .agg(*[F.sum(c).alias(c) for c in ("n", *(f"n{k}" for k in range(n)))])
-        .where(F.col("n") >= least)
-        .persist()
+        .where(F.col("n") >= least),
+        "toxicity-terms",
     )
     totals = sample.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in categories]).first()
     vocabulary: dict[str, int] = {}
@@ -145,7 +149,6 @@ def fit_toxicity(
         told = part(p, F.col("n") * a / size) + part(q, F.col("n") * b / size) + part(a - p, (size - F.col("n")) * a / size) + part(b - q, (size - F.col("n")) * b / size)
         for r in counts.orderBy(F.desc(told), "term").limit(terms).collect():  # at most `terms` rows
             vocabulary.setdefault(r["term"], len(vocabulary))
-    counts.unpersist()
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,28 +165,44 @@ def fit_toxicity(
     row_of = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy())) if got.num_rows else np.zeros(0, np.int64)
     fold_of = got.column("fold").to_numpy()
     dense, weights = np.zeros((got.num_rows, 0)), []
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((row_of.astype(np.int32), term_of.astype(np.int32), fold_of))  # fit_rows documents' terms
     for c in categories:
         y = got.column(c).to_numpy().astype(float)
-        weights.append(fit_link(row_of, term_of, dense, y, len(vocabulary)))
-        if c == categories[-1]:  # its probabilities feed nothing
+        models = folds + 1 if c != categories[-1] else 1  # the last one's probabilities feed nothing
+
+        def fit(batches: Iterator[pa.RecordBatch], y=y, dense=dense) -> Iterator[pa.RecordBatch]:
+            row_of, term_of, fold_of = shared.value
+            for k in (k for b in batches for k in b.column(0).to_pylist()):
+                rest = fold_of != k
+                inside = rest[row_of]
+                place = np.cumsum(rest) - 1
+                w = fit_link(place[row_of[inside]], term_of[inside].astype(np.int64), dense[rest], y[rest], len(vocabulary))
+                yield pa.record_batch([pa.array([k], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["k", "w"])
+
+        # model `folds` leaves no fold out
+        tasks = spark.range(folds + 1 - models, folds + 1, numPartitions=models)
+        fitted = {r["k"]: np.frombuffer(r["w"]) for r in tasks.mapInArrow(frugal(fit), "k long, w binary").collect()}
+        weights.append(fitted[folds])
+        if c == categories[-1]:
             break
         unseen = np.zeros(len(y))
         for k in range(folds):
-            own, rest = fold_of == k, fold_of != k
-            inside = rest[row_of]
-            place = np.cumsum(rest) - 1
-            w = fit_link(place[row_of[inside]], term_of[inside], dense[rest], y[rest], len(vocabulary))
-            unseen[own] = _link(w, row_of, term_of, dense)[own]
+            own = fold_of == k
+            unseen[own] = _link(fitted[k], row_of, term_of, dense)[own]
         dense = np.concatenate([dense, unseen[:, None]], axis=1)
+    shared.unpersist()
     return ToxicityChain(tuple(categories), vocabulary, weights)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), threshold: float = 0.25, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
     """One row per document: ``doc_id``, ``p_<category>`` each, and ``is_toxic`` (the last category above ``threshold``).
 
-    Null and empty texts have no words and get the models' base rates. Without labels every
-    probability is about 0. Repeated rows are scored alike; an empty table gives no rows. Other columns aren't read.
+    Null and empty texts have no words and get the models' base rates. Very long texts are read whole. Without labels every
+    probability is about 0. Equal texts and repeated rows are scored alike; an empty table gives no rows. Other columns aren't
+    read, whatever their names; a label that is itself called ``text`` can't be a category.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(rows, labels, categories, **fit))
     names = [f"p_{c}" for c in categories]
@@ -191,6 +210,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ..
     @F.arrow_udf(", ".join(f"{n} double" for n in names))
     def probabilities(texts: pa.Array) -> pa.Array:
         found = shared.value.probabilities(texts)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(found.shape[1])], names=names)
 
     scored = rows.select("doc_id", probabilities("text").alias("p")).select("doc_id", "p.*")
