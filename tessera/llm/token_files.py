@@ -4,7 +4,8 @@ Layout of a folder:
 
 * ``data/<name>.tok``: 8 bytes ``TSRTOK01``, 32 bytes sha256 of the dictionary, then zstandard frames, one
   for each document, of its ids as little-endian unsigned integers (16 bits where the vocabulary allows, else 32).
-* ``index`` (Parquet): doc_id, part, file, offset, length, n_tokens, first (ids before it in its part). Parts ascend by doc_id.
+* ``index`` (Parquet): doc_id, part, file, offset, length, n_tokens, first (ids before it in its part). Parts ascend by doc_id;
+  a part is one task's and has one file or, where it is large, several in a row.
 * ``meta`` (Parquet, one row): dictionary, its sha256, bytes of an id, end id.
 
 A task writes its data file under a name of its own and reports it in the index, which Spark commits; files of
@@ -23,9 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import frugal, small_batches
 from tessera.llm.tokens import encoder, with_end
 
 MAGIC = b"TSRTOK01"
+#: Documents that are read back at a time.
+READ_ROWS = 1_000
 
 
 def _files(folder: str):
@@ -35,16 +39,30 @@ def _files(folder: str):
 
 
 def _sample(docs: DataFrame, tokenizer: str, end_id: int, width: int, n: int, most: int) -> list[bytes]:
-    """The first ``most`` bytes of serialised ids of ``n`` documents, chosen by a hash of the id."""
+    """The first ``most`` bytes of serialised ids of ``n`` documents, chosen by a hash of the id.
+
+    Thin hashes are ranked first; only the chosen documents' texts are read. Of a repeated id any row may stand for it.
+    """
+    spark = docs.sparkSession
+    place = F.xxhash64("doc_id")
+    total = docs.count()
+    # about twice as many as needed lie below this bound, so few rows are ranked, however many there are
+    bound = int(min(1.0, (2 * n + 64) / max(1, total)) * (2**64 - 1)) - 2**63
+    ranked = docs.where(place <= F.lit(min(bound, 2**63 - 1))).select(place.alias("h")).distinct().orderBy("h").limit(n)
+    chosen = [r["h"] for r in ranked.collect()]  # n numbers at most
+    if not chosen:
+        return []
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at = with_end(*encoder(tokenizer).encode(b.column("text")), end_id)
-            raw = [ids[i:j].astype(f"<u{width}").tobytes()[:most] for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([pa.array(raw, pa.binary())], names=["raw"])
+            for _, *coded in encoder(tokenizer).slices(b.column("text")):
+                ids, at = with_end(*coded, end_id)
+                raw = [ids[i:j].astype(f"<u{width}").tobytes()[:most] for i, j in zip(at[:-1], at[1:], strict=True)]
+                yield pa.record_batch([pa.array(raw, pa.binary())], names=["raw"])
 
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("text")
-    return [r["raw"] for r in chosen.mapInArrow(serialised, "raw binary").collect()]  # n * most bytes at most
+    own = spark.createDataFrame([(h,) for h in chosen], "h long")
+    texts = docs.withColumn("h", place).join(F.broadcast(own), "h", "left_semi").select("text").limit(2 * n)
+    return sorted(r["raw"] for r in texts.mapInArrow(frugal(serialised), "raw binary").collect())  # 2 n * most bytes at most
 
 
 def train_dictionary(samples: list[bytes], dictionary_bytes: int) -> bytes:
@@ -65,6 +83,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     file_bytes: int = 32 << 20,
+    most_parts: int = 16_384,
     dictionary_bytes: int = 64 << 10,
     sample_docs: int = 512,
     sample_bytes: int = 8 << 10,
@@ -72,16 +91,16 @@ def write_token_files(
 ) -> None:
     """Writes all documents in ascending order of id. A null or empty text is the end id alone.
 
-    Texts move once, to the part of their id's range, and are encoded and written there; parts hold
-    about ``file_bytes`` of text. Repeated ids lie side by side, ordered by text. An empty table makes an empty index.
-    The dictionary is trained on a bounded sample: ``sample_docs`` documents, ``sample_bytes`` of each.
+    Texts move once, to the part of their id's range, and are encoded and written there. There is a part for each
+    ``file_bytes`` of text, ``most_parts`` at most; a large part's file is followed by another when it holds ``file_bytes``.
+    Null ids come first. Repeated ids lie side by side, ordered by a hash of the text, equal texts are written as often as they occur;
+    many rows of one id may span parts. An empty table makes an empty index. Other columns aren't read, whatever their names.
+    The dictionary is trained on a bounded sample: ``sample_docs`` documents, ``sample_bytes`` of each; texts are written whole.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(-(-total // file_bytes), spark.sparkContext.defaultParallelism)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
-    cuts = np.unique(np.array(cuts[: parts - 1], dtype=np.int64))
+    parts = min(max(-(-total // file_bytes), rows.sparkSession.sparkContext.defaultParallelism), most_parts)
 
     from tokenizers import Tokenizer
 
@@ -90,50 +109,47 @@ def write_token_files(
     dictionary = train_dictionary(_sample(rows, tokenizer, end_id, width, sample_docs, sample_bytes), dictionary_bytes)
     digest = hashlib.sha256(dictionary).digest()
 
-    @F.arrow_udf("int")
-    def part(ids: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32))
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         store, root = _files(folder)
-        name, out, offset, first, own = f"{uuid.uuid4().hex}.tok", None, 0, 0, TaskContext.get().partitionId()
+        name, out, offset, first, own = "", None, 0, 0, TaskContext.get().partitionId()
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                store.create_dir(f"{root}/data", recursive=True)
-                out = store.open_output_stream(f"{root}/data/{name}")
-                out.write(MAGIC + digest)
-                offset = len(MAGIC) + len(digest)
-            ids, at = with_end(*encoder(tokenizer).encode(b.column("text")), end_id)
-            raw = memoryview(ids.astype(f"<u{width}").tobytes())
-            frames = [packer.compress(raw[i * width : j * width]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            lengths = np.fromiter(map(len, frames), np.int64, len(frames))
-            out.write(b"".join(frames))
-            n = b.num_rows
-            yield pa.record_batch(
-                [b.column("doc_id"), pa.array(np.full(n, own, np.int32)), pa.array([name] * n), pa.array(offset + np.cumsum(lengths) - lengths), pa.array(lengths), pa.array(np.diff(at)), pa.array(first + at[:-1])],
-                names=["doc_id", "part", "file", "offset", "length", "n_tokens", "first"],
-            )
-            offset += int(lengths.sum())
-            first += int(at[-1])
+            for row, *coded in encoder(tokenizer).slices(b.column("text")):
+                if out is None or offset >= file_bytes:
+                    if out is not None:
+                        out.close()
+                    store.create_dir(f"{root}/data", recursive=True)
+                    name = f"{uuid.uuid4().hex}.tok"
+                    out = store.open_output_stream(f"{root}/data/{name}")
+                    out.write(MAGIC + digest)
+                    offset = len(MAGIC) + len(digest)
+                ids, at = with_end(*coded, end_id)
+                raw = memoryview(ids.astype(f"<u{width}").tobytes())
+                frames = [packer.compress(raw[i * width : j * width]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                lengths = np.fromiter(map(len, frames), np.int64, len(frames))
+                out.write(b"".join(frames))
+                n = len(frames)
+                yield pa.record_batch(
+                    [b.column("doc_id").slice(row, n), pa.array(np.full(n, own, np.int32)), pa.array([name] * n), pa.array(offset + np.cumsum(lengths) - lengths), pa.array(lengths), pa.array(np.diff(at)), pa.array(first + at[:-1])],
+                    names=["doc_id", "part", "file", "offset", "length", "n_tokens", "first"],
+                )
+                offset += int(lengths.sum())
+                first += int(at[-1])
         if out is not None:
             out.close()
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    order = ("doc_id", F.xxhash64("text"))
     index = (
-        rows.withColumn("part", part(F.col("doc_id").cast("long")))
-        .repartitionById(parts, F.col("part"))
-        .sortWithinPartitions("doc_id", "text")
-        .select("doc_id", "text")
-        .mapInArrow(write, f"doc_id {id_type}, part int, file string, offset long, length long, n_tokens long, first long")
+        rows.repartitionByRange(int(parts), *order)
+        .sortWithinPartitions(*order)
+        .mapInArrow(frugal(write), f"doc_id {id_type}, part int, file string, offset long, length long, n_tokens long, first long")
     )
     index.write.parquet(f"{folder}/index")
     meta = [(bytearray(dictionary), digest.hex(), width, end_id)]
-    spark.createDataFrame(meta, "dictionary binary, sha256 string, width int, end_id int").coalesce(1).write.parquet(f"{folder}/meta")
+    rows.sparkSession.createDataFrame(meta, "dictionary binary, sha256 string, width int, end_id int").coalesce(1).write.parquet(f"{folder}/meta")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,7 +164,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         raise ValueError(f"the dictionary in {folder}/meta doesn't have the hash it is listed with")
 
     index = spark.read.parquet(f"{folder}/index")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, `most_parts` at most
     bases = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,20 +173,21 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         store, root = _files(folder)
         name, source = None, None
-        for b in batches:
-            raw = []
-            for file, offset, length in zip(b.column("file").to_pylist(), b.column("offset").to_pylist(), b.column("length").to_pylist(), strict=True):
-                if file != name:
-                    name, source = file, store.open_input_file(f"{root}/data/{file}")
-                    if source.read_at(len(MAGIC) + len(digest), 0) != MAGIC + digest:
-                        raise ValueError(f"{file} was written with another dictionary")
-                ids = np.frombuffer(unpacker.decompress(source.read_at(length, offset)), f"<u{width}")
-                raw.append(ids.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("first"), b.column("n_tokens"), pa.array(raw, pa.binary())], names=["doc_id", "part", "first", "n_tokens", "ids"])
+        for batch in batches:
+            for k in range(0, batch.num_rows, READ_ROWS):
+                b, raw = batch.slice(k, READ_ROWS), []
+                for file, offset, length in zip(b.column("file").to_pylist(), b.column("offset").to_pylist(), b.column("length").to_pylist(), strict=True):
+                    if file != name:
+                        name, source = file, store.open_input_file(f"{root}/data/{file}")
+                        if source.read_at(len(MAGIC) + len(digest), 0) != MAGIC + digest:
+                            raise ValueError(f"{file} was written with another dictionary")
+                    ids = np.frombuffer(unpacker.decompress(source.read_at(length, offset)), f"<u{width}")
+                    raw.append(ids.astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("first"), b.column("n_tokens"), pa.array(raw, pa.binary())], names=["doc_id", "part", "first", "n_tokens", "ids"])
 
     id_type = index.schema["doc_id"].dataType.simpleString()
     return (
-        index.mapInArrow(read, f"doc_id {id_type}, part int, first long, n_tokens long, ids binary")
+        index.mapInArrow(frugal(read, "token files"), f"doc_id {id_type}, part int, first long, n_tokens long, ids binary")
         .join(F.broadcast(bases.withColumnRenamed("part", "p")), F.col("part") == F.col("p"), "left")
         .select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
     )

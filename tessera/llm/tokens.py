@@ -1,21 +1,26 @@
 """Encoding whole texts with a public tokenizer, each distinct piece of text once.
 
-A text is cut at places where the tokenizers used here split themselves (before a space after a visible
+A text is cut at places where byte-level tokenizers split themselves (before a space after a visible
 character, for one), so the ids of a text are the ids of its pieces in a row. Pieces
-repeat, so each batch encodes its distinct ones only, and a bounded cache keeps them for later batches.
+repeat, so each slice encodes its distinct ones only, and a bounded cache keeps them for later slices. Tokenizers that
+aren't known to split there encode whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from tessera.llm.memory import keeps
+
 #: Bytes of text that are cut at a time; longer single texts are taken whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _cut(data: np.ndarray) -> np.ndarray:
@@ -51,14 +56,34 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
+#: Splitters of words (fixed values of the format) after which pieces may be encoded apart.
+WORDS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_pieces(config: dict) -> bool:
+    """Whether a tokenizer's own splits include all of ``_cut``: byte-level, or words with white space dropped and lower case."""
+    pre, normalizer, model = config.get("pre_tokenizer") or {}, config.get("normalizer"), config.get("model") or {}
+    if config.get("post_processor") or model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix"):
+        return False
+    bytes_apart = lambda p, own: p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and p.get("use_regex", True) is own
+    if normalizer is None:
+        return bytes_apart(pre, True)
+    steps, pres = normalizer.get("normalizers") or [], pre.get("pretokenizers") or []
+    if [n.get("type") for n in steps] != ["NFC", "Replace", "Lowercase"] or steps[1].get("pattern") != {"Regex": r"\s+"} or steps[1].get("content") != " ":
+        return False
+    return len(pres) == 2 and pres[0].get("pattern") == {"Regex": WORDS_APART} and pres[0].get("behavior") == "Removed" and bool(pres[0].get("invert")) and bytes_apart(pres[1], False)
+
+
 class PieceEncoder:
-    """Encodes columns of text; ``cache`` bounds the number of pieces that are kept."""
+    """Encodes columns of text; ``cache`` bounds the number of pieces that are kept, of ``longest`` bytes at most."""
 
-    def __init__(self, path: str, cache: int = 700_000, longest: int = 32):
+    def __init__(self, path: str, cache: int = 120_000, longest: int = 32):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.apart = splits_at_pieces(json.load(f))
         #: lower case and no white space: pieces that differ in these alone are one
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.merges = self.tokenizer.model.tokenize
@@ -72,25 +97,23 @@ class PieceEncoder:
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         """Each piece's ids as little-endian unsigned 32-bit integers."""
-        known, room = self.known, self.cache - len(self.known)
+        if len(self.known) > self.cache:
+            self.known = {}
+        known = self.known
         out = [known.get(p) for p in pieces]
         other = []
         for i in [i for i, x in enumerate(out) if x is None]:
             piece = pieces[i]
             if len(piece) <= self.longest and PLAIN.fullmatch(piece):
-                out[i] = ids = self._plain(piece)
-                if room > 0:
-                    known[piece] = ids
-                    room -= 1
+                known[piece] = out[i] = self._plain(piece)
             else:
                 other.append(i)
-        for k in range(0, len(other), 4096):
-            some = other[k : k + 4096]
+        for k in range(0, len(other), 1024):
+            some = other[k : k + 1024]
             for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in some], add_special_tokens=False), strict=True):
                 out[i] = ids = array("I", e.ids).tobytes()
-                if room > 0 and len(pieces[i]) <= self.longest:
+                if len(pieces[i]) <= self.longest:
                     known[pieces[i]] = ids
-                    room -= 1
         return out
 
     def _slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,34 +127,38 @@ class PieceEncoder:
         offsets = np.append(at, len(data)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy()
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        n = lengths[which]
-        ends = np.cumsum(n)
-        take = np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1])
-        done = np.concatenate([[0], ends])
-        return flat[take], done[np.searchsorted(at, bounds, "left")]
+        ids = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        done = np.frombuffer(ids.buffers()[1], np.int64)[: len(at) + 1] // 4
+        flat = np.frombuffer(ids.buffers()[2] or b"", np.uint32)[: done[-1]]
+        return flat, done[np.searchsorted(at, bounds, "left")]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and len(texts) + 1 offsets into them; null counts as empty."""
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.array([i for ids in coded for i in ids], np.uint32), np.cumsum([0, *map(len, coded)])
+
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids in a row, offsets into them) of slices of a column; null counts as empty."""
         raw = texts.cast(pa.large_binary()).fill_null(b"")
         if not len(raw):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+            return
         offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
-        ids, bounds, first, base = [], [np.zeros(1, np.int64)], 0, 0
+        data, first = np.frombuffer(raw.buffers()[2] or b"", np.uint8), 0
         while first < len(raw):
-            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
-            last = min(last, len(raw))
+            last = min(len(raw), max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1))
             lo, hi = offsets[first], offsets[last]
-            flat, at = self._slice(np.ascontiguousarray(data[lo:hi]), offsets[first : last + 1] - lo)
+            if self.apart:
+                yield first, *self._slice(np.ascontiguousarray(data[lo:hi]), offsets[first : last + 1] - lo)
+            else:
+                yield first, *self._whole(texts.slice(first, last - first))
+            first = last
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and len(texts) + 1 offsets into them; null counts as empty."""
+        ids, bounds, base = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+        for _, flat, at in self.slices(texts):
             ids.append(flat)
             bounds.append(at[1:] + base)
             base += len(flat)
-            first = last
         return np.concatenate(ids), np.concatenate(bounds)
 
 
@@ -150,7 +177,8 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process and vocabulary."""
+    """The worker process's encoder of this vocabulary; one of another vocabulary goes."""
+    keeps("tokens " + path, _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
