@@ -17,6 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import frugal, give_back, keeps, small_batches
+from tessera.llm.storage import written
+
 #: Probability of a single character that is no piece; the same for every language.
 FLOOR = 1e-7
 START = "▁"
@@ -25,7 +28,10 @@ SLICE_BYTES = 2 << 20
 
 
 def vocabulary(path: str, longest: int = 12) -> dict[str, int]:
-    """The distinct lower-case pieces of a sentencepiece model, numbered, without control and byte pieces."""
+    """The distinct lower-case pieces of a sentencepiece model, numbered: those of letters alone, of ``longest`` characters at most.
+
+    Longer pieces cost time and tell little; a word that has one is still scored by its shorter pieces.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -126,28 +132,31 @@ class LanguageModel:
     languages: list[str]
     table: np.ndarray
     longest: int = 12
-    cache: int = 300_000
+    cache: int = 100_000
     pieces: dict[str, int] = field(default_factory=dict)
     known: dict[bytes, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
 
     def _of(self, words: list[bytes]) -> np.ndarray:
         """Scores of distinct words; those of frequent ones are kept from batch to batch."""
-        at = [self.known.get(w, -1) for w in words]
-        new = [i for i, a in enumerate(at) if a < 0]
-        fresh = log_likelihood([words[i].decode() for i in new], self.pieces, self.table, self.longest) if new else np.zeros((0, len(self.languages)))
-        out = np.empty((len(words), len(self.languages)))
-        at = np.array(at)
+        at = np.array([self.known.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(at < 0)
         if self.scores is None:
             self.scores = np.empty((self.cache, len(self.languages)))
+        out = np.empty((len(words), len(self.languages)))
         out[at >= 0] = self.scores[at[at >= 0]]
-        out[new] = fresh
-        for k, i in enumerate(new[: self.cache - len(self.known)]):
-            if len(words[i]) <= 40:
-                self.scores[len(self.known)] = fresh[k]
-                self.known[words[i]] = len(self.known)
+        for k in range(0, len(new), 20_000):
+            some = new[k : k + 20_000]
+            out[some] = fresh = log_likelihood([words[i].decode() for i in some], self.pieces, self.table, self.longest)
+            for i, x in zip(some[: self.cache - len(self.known)].tolist(), fresh, strict=False):
+                if len(words[i]) <= 40:
+                    self.scores[len(self.known)] = x
+                    self.known[words[i]] = len(self.known)
         return out
 
+    def forget(self) -> None:
+        self.known, self.scores, self.pieces = {}, None, {}
+
     def score(self, texts: pa.Array) -> np.ndarray:
         """log P(text | language); a row of NaN for a text without letters."""
         if not self.pieces:
@@ -208,33 +217,51 @@ def _word_counts(batches):
 
 
 def fit_languages(labelled: DataFrame, path: str, fit_docs: int = 400, fit_words: int = 40_000, longest: int = 12, most_languages: int = 200) -> LanguageModel:
-    """A model of the languages in ``labelled`` (doc_id, text, lang; rows with a null lang are left out).
+    """A model of the languages in ``labelled`` (doc_id, text, lang; rows with a null lang or text are left out).
 
-    It is fitted on a bounded sample: ``fit_docs`` documents of each language, chosen by a hash of the
-    id, and of these the ``fit_words`` most frequent words. ``most_languages`` bounds the model's size.
+    It is fitted on a bounded sample: ``fit_docs`` documents of each language, chosen by a hash of id and text, and of
+    these the ``fit_words`` most frequent words. ``most_languages`` bounds the model's size; more languages are an
+    error before anything is collected. Each language is fitted by a task of its own.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= fit_docs)
-    counts = sample.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    spark = labelled.sparkSession
+    small_batches(spark)
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; the model is meant for that many at most")
+    if not sizes:
+        return LanguageModel(path, [], np.zeros((0, 0)), longest)
+    # about twice as many documents as needed hash below a language's bound, so few thin rows are ranked
+    bounds = [(r["lang"], min(2**63 - 1, int(min(1.0, (2 * fit_docs + 64) / r["docs"]) * (2**64 - 1)) - 2**63)) for r in sizes]
+    bounds = spark.createDataFrame(bounds, "lang string, most long")  # a row for each language
+    thin = known.select("lang", "h").join(F.broadcast(bounds), "lang").where("h <= most").select("lang", "h").distinct()
+    chosen = thin.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= fit_docs).select("lang", "h")
+    sample = known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")  # most_languages * fit_docs thin rows
+    counts = sample.mapInArrow(frugal(_word_counts, "language"), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = counts.withColumn("nth", F.row_number().over(frequent)).where(F.col("nth") <= fit_words).select("lang", "word", "n").toPandas()
-    languages = sorted(rows["lang"].unique())
-    if len(languages) > most_languages:
-        raise ValueError(f"{len(languages)} languages; the model is meant for {most_languages} at most")
-    pieces = vocabulary(path, longest)
-    fitted = [fit_pieces(dict(zip(g["word"], g["n"].astype(float), strict=True)), pieces, longest) for _, g in rows.groupby("lang", sort=True)]
-    table = _table(np.stack(fitted, axis=1)) if fitted else np.zeros((0, 0))
-    return LanguageModel(path, languages, table, longest)
+    counts = written(counts.withColumn("nth", F.row_number().over(frequent)).where(F.col("nth") <= fit_words).select("lang", "word", "n"), "language-words")
+
+    def fit(table: pa.Table) -> pa.Table:
+        words = dict(zip(table.column("word").to_pylist(), map(float, table.column("n").to_pylist()), strict=True))
+        fitted = fit_pieces(words, vocabulary(path, longest), longest)
+        give_back()
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "p": pa.array([fitted.tobytes()], pa.binary())})
+
+    found = {r["lang"]: np.frombuffer(r["p"], float) for r in counts.groupBy("lang").applyInArrow(fit, "lang string, p binary").collect()}  # a vocabulary for each language
+    languages = sorted(found)
+    return LanguageModel(path, languages, _table(np.stack([found[x] for x in languages], axis=1)) if languages else np.zeros((0, 0)), longest)
 
 
 def predicted_language(text: Column, model: LanguageModel, spark) -> Column:
     """A struct ``lang_pred string, score double`` for a text; null and letterless texts are ``und`` with 0."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
+        keeps(f"language {id(shared.value)}", shared.value.forget)
         found, share = shared.value.predict(texts)
-        pa.default_memory_pool().release_unused()  # slices of unlike sizes would pile up in the allocator
+        give_back()  # slices of unlike sizes would pile up in the allocator
         return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(share)], names=["lang_pred", "score"])
 
     return predict(text)
@@ -250,7 +277,8 @@ def identify_languages(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
     Learns from the text and lang of the documents that aren't held out, then predicts all from their
     text alone. A null, empty or letterless text is ``und`` with score 0, and so is every text where nothing is
-    labelled. Repeated rows are predicted alike. An empty table gives no rows.
+    labelled. Very long texts are read whole. Of equally likely languages the first by code point is taken. Repeated rows are
+    predicted alike. An empty table gives no rows; other columns aren't read, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = fit_languages(rows.where(~held_out(F.col("doc_id"))), path, **fit)
@@ -259,8 +287,13 @@ def identify_languages(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
 
 def keep_known_languages(docs: DataFrame, path: str, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit) -> DataFrame:
-    """The rows of ``docs``, columns as they are, whose language is recognised with a posterior of ``least`` or more."""
+    """The rows of ``docs``, columns as they are, whose language is recognised with a posterior of ``least`` or more.
+
+    Null, empty and letterless texts go. Equal texts stay or go together, however often they occur; an empty table stays empty.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = fit_languages(rows.where(~held_out(F.col("doc_id"))), path, **fit)
     found = predicted_language(F.col(text_col), model, docs.sparkSession)
-    return docs.withColumn("_found", found).where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least)).select(*docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns])  # in a struct, no column of theirs can clash
+    both = docs.select(row.alias("row"), found.alias("found"))
+    return both.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= least)).select("row.*")
