@@ -1,13 +1,15 @@
 """N-gram Jaccard join with signature trees.
 
-1. Each text becomes its set of shingles (64-bit hashes); equal sets are joined to one.
+1. Each text becomes its set of shingles (64-bit hashes); equal sets are one from here on.
 2. Sets are dealt out without loss: two sets of size at most m with Jaccard t or more differ in at most
    D = (1-t)/(1+t) * 2m shingles, so of more than D segments of the hash space at least one is equal in both. Sets
-   that share a segment's content meet in its cluster, the star around the smallest of them.
-3. Within clusters, blocks of sets meet in pairs, each pair in one task. A block is a signature tree: nodes hold
-   OR-combined bitmaps and size ranges; two trees are traversed together and node pairs are pruned by
+   that share a segment's content meet in a star around one of them.
+3. The sets of a large star are compared with its centre first, each once: in its first star, then in others whose centre it isn't
+   yet connected with. Of two sets connected with the centre nothing more need be known; only the others go on to meet all of the star's sets.
+4. Blocks of sets meet in pairs, each pair in one task. A block is a signature tree: nodes on every level hold
+   OR-combined bitmaps and size ranges; two trees are descended together from their roots and node pairs are pruned by
    their largest possible overlap. Bitmaps alone meet first; sets that may link then meet whole and are compared exactly.
-4. The links' components are the groups.
+5. The links' components are the groups.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components, union
-from tessera.llm.storage import checkpointed, written
+from tessera.llm.components import connected_components
+from tessera.llm.memory import frugal, small_batches
+from tessera.llm.storage import checkpointed, unused, written
 
 #: Bytes of text that are cut into shingles at a time; about a hundred bytes of arrays go with each.
 SLICE_BYTES = 512 << 10
@@ -33,8 +36,12 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 STEP = 1.25
 #: Deals of a set's shingles to segments before empty segments become keys.
 DEALS = 8
-#: Block numbers within a size class stay below this.
+#: Block numbers within a size class stay below half of this; those of sets that link with their centre begin there.
 BLOCKS = 1 << 32
+#: Bytes of sets that a block aims at, and its least and most sets; sets that a task remembers so that copies send their keys once.
+BLOCK_BYTES, BLOCK_LEAST, MEMORY = 4 << 20, 32, 1 << 18
+#: Up to so many ids of documents whose sets are wanted are broadcast, so that other texts stay where they are.
+WANTED = 1_000_000
 #: Least and most bits of a set's bitmap; sets beyond are pruned less, never dropped.
 BITS = (64, 1 << 14)
 #: The block of a star that isn't cut.
@@ -135,30 +142,47 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _unpacked(bitmaps: list[bytes], bits: int) -> np.ndarray:
-    """Bitmaps of at least ``bits`` bits, folded to ``bits``."""
-    return np.stack([np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little").reshape(-1, bits).any(0) for m in bitmaps])
+def _folded(bitmaps: list[bytes], bits: int) -> np.ndarray:
+    """Bitmaps of at least ``bits`` bits, folded to ``bits``, as rows of 64-bit words."""
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, bits // 64)) for m in bitmaps])
 
 
 class SignatureTree:
-    """A block's sets, by size, under nodes of ``fan`` sets each; ``bitmaps`` are of equal or more ``bits``."""
-
-    def __init__(self, size: np.ndarray, bitmaps: list[bytes], bits: int, fan: int = 8):
-        self.size, self.fan = np.asarray(size, np.int64), fan
-        self.leaf = _unpacked(bitmaps, bits).astype(np.float32)
-        self.excess = self.size - self.leaf.sum(1).astype(np.int64)  # shingles that share a bit with another
-        heads = np.arange(0, len(bitmaps), fan)
-        self.node = np.maximum.reduceat(self.leaf, heads)
-        self.low, self.high = np.minimum.reduceat(self.size, heads), np.maximum.reduceat(self.size, heads)
-        self.node_excess = np.maximum.reduceat(self.excess, heads)
+    """A block's sets, by size, under levels of nodes with ``fan`` children each, up to one root; ``bitmaps`` are of equal or more ``bits``.
 
+    A level holds, row by row, the OR of what is below, the least and largest size, and the most shingles of a set that share a bit with another.
+    """
 
-def _may_link(bits: np.ndarray, low_a, high_a, exc_a, low_b, high_b, exc_b, percent: int) -> np.ndarray:
-    """Where the largest possible overlap and the sizes allow a link."""
-    overlap = bits + np.minimum(exc_a[:, None], exc_b[None, :])
-    most = np.minimum(overlap, np.minimum(high_a[:, None], high_b[None, :]))
-    larger = np.maximum(low_a[:, None], low_b[None, :])
-    return 100 * most >= percent * larger
+    def __init__(self, size: np.ndarray, bitmaps: list[bytes], bits: int, fan: int = 8):
+        self.fan = fan
+        size, leaf = np.asarray(size, np.int64), _folded(bitmaps, bits)
+        self.levels = [(leaf, size, size, size - np.bitwise_count(leaf).sum(1, dtype=np.int64))]
+        while len(self.levels[-1][0]) > 1:
+            own, low, high, excess = self.levels[-1]
+            heads = np.arange(0, len(own), fan)
+            self.levels.append((np.bitwise_or.reduceat(own, heads, axis=0), np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads), np.maximum.reduceat(excess, heads)))
+
+    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``nodes``, child) of nodes of a level."""
+        child = (nodes[:, None] * self.fan + np.arange(self.fan)).ravel()
+        parent = np.repeat(np.arange(len(nodes)), self.fan)
+        there = child < len(self.levels[level - 1][0])
+        return parent[there], child[there]
+
+
+def _may_link(a: tuple, b: tuple, u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+    """For pairs of rows of two levels, whether sizes and the largest possible overlap allow a link below."""
+    (bits_a, low_a, high_a, exc_a), (bits_b, low_b, high_b, exc_b) = a, b
+    larger, smaller = np.maximum(low_a[u], low_b[v]), np.minimum(high_a[u], high_b[v])
+    out = 100 * smaller >= percent * larger
+    at = np.flatnonzero(out)
+    step = max(1, (1 << 18) // bits_a.shape[1])
+    for k in range(0, len(at), step):
+        some = at[k : k + step]
+        x, y = u[some], v[some]
+        overlap = np.bitwise_count(bits_a[x] & bits_b[y]).sum(1, dtype=np.int64) + np.minimum(exc_a[x], exc_b[y])
+        out[some] = 100 * np.minimum(overlap, smaller[some]) >= percent * larger[some]
+    return out
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -168,14 +192,24 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def tree_pairs(a: SignatureTree, b: SignatureTree, same: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of two trees' sets that may link, node pair by node pair."""
-    nodes = _may_link(a.node @ b.node.T, a.low, a.high, a.node_excess, b.low, b.high, b.node_excess, percent)
-    for p, q in zip(*np.nonzero(np.triu(nodes) if same else nodes), strict=True):
-        i, j = slice(p * a.fan, (p + 1) * a.fan), slice(q * b.fan, (q + 1) * b.fan)
-        x, y = np.nonzero(_may_link(a.leaf[i] @ b.leaf[j].T, a.size[i], a.size[i], a.excess[i], b.size[j], b.size[j], b.excess[j], percent))
-        u, v = p * a.fan + x, q * b.fan + y
-        yield (u[u < v], v[u < v]) if same else (u, v)
+def tree_pairs(a: SignatureTree, b: SignatureTree, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two trees' sets that may link, found from the roots down; ``same``: a tree that meets itself, each pair once."""
+    i, j = len(a.levels) - 1, len(b.levels) - 1
+    u, v = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while True:
+        kept = _may_link(a.levels[i], b.levels[j], u, v, percent)
+        u, v = u[kept], v[kept]
+        if not len(u) or i == j == 0:
+            return (u[u < v], v[u < v]) if same else (u, v)
+        down_a, down_b = i >= j, j >= i  # the higher tree first, then both together
+        if down_a:
+            parent, u = a.children(i, u)
+            v, i = v[parent], i - 1
+        if down_b:
+            parent, v = b.children(j, v)
+            u, j = u[parent], j - 1
+        if same:
+            u, v = u[u <= v], v[u <= v]
 
 
 class Side:
@@ -202,8 +236,8 @@ def side_pairs(a: Side, b: Side, percent: int) -> Iterator[tuple[np.ndarray, np.
             if percent * max(w, x) >= 200 * min(w, x) or (a is b and w > x):
                 continue
             (at, left), (to, right) = a.tree(w, min(w, x)), b.tree(x, min(w, x))
-            for u, v in tree_pairs(left, right, a is b and w == x, percent):
-                yield at[u], to[v]
+            u, v = tree_pairs(left, right, a is b and w == x, percent)
+            yield at[u], to[v]
 
 
 def _linked_pairs(a: Side, b: Side, sets_a: list[np.ndarray], sets_b: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
@@ -273,92 +307,203 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = 96) -> DataFrame:
+def _centre_links(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Sets of each piece of a star that link with its centre, by bitmaps (may link) or whole; a piece's rows come one after another, the centre first."""
+    current, centre = None, None
+    for batch in batches:
+        found = []
+        rows = zip(*(batch.column(n).to_pylist() for n in ("cluster", "piece", "spoke", "doc_id", "n_shingles", "own")), strict=True)
+        for cluster, piece, spoke, doc, n, own in rows:
+            if not spoke:
+                current, centre = (cluster, piece), (doc, n, np.frombuffer(own, np.uint64))
+            elif (cluster, piece) == current:
+                mine = np.frombuffer(own, np.uint64)
+                if whole:
+                    hit = _linked(mine, centre[2], percent)
+                else:
+                    bits = min(len(mine), len(centre[2]))
+                    x, y = (np.bitwise_or.reduce(w.reshape(-1, bits)) for w in (mine, centre[2]))
+                    spare = min(n - int(np.bitwise_count(x).sum()), centre[1] - int(np.bitwise_count(y).sum()))
+                    hit = 100 * min(int(np.bitwise_count(x & y).sum()) + spare, n, centre[1]) >= percent * max(n, centre[1])
+                if hit:
+                    found.append((cluster, piece, doc, centre[0]))
+        if found:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["cluster", "piece", "doc_id", "centre"])
+
+
+def _with_sets(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """``members`` (doc_id and what goes with it) with the documents' sets as ``own`` and their sizes; texts of members alone are cut again."""
+    names = [c for c in members.columns if c != "doc_id"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, shingles, at in shingle_sets(b.column("text"), words):
+                n = len(at) - 1
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(shingles))])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, n) for c in ("doc_id", *names)), pa.array(np.diff(at)), raw], names=["doc_id", *names, "n_shingles", "own"])
+
+    kinds = ", ".join(f"`{c}` {members.schema[c].dataType.simpleString()}" for c in names)
+    ids = members.select("doc_id").distinct()
+    if ids.limit(WANTED + 1).count() <= WANTED:
+        rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    return rows.join(members, "doc_id").select("doc_id", *names, "text").mapInArrow(frugal(cut, "shingles"), f"doc_id long, {kinds}, n_shingles long, own binary")
+
+
+def _star_links(rows: DataFrame, clusters: DataFrame, bitmaps: DataFrame, words: int, percent: int, star: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """For stars of more than ``star`` sets: members (``cluster, doc_id``) that are connected with their centre, and the links (``u, v``) found.
+
+    A star is dealt to pieces of ``block`` sets, each with the centre. Sets meet it by bitmaps, and whole where these allow a link.
+    """
+    large = checkpointed(clusters.where(F.col("members") > star))
+    pieces = F.ceil(F.col("members") / block).cast("long")
+    hubs = large.where("centre").select("doc_id", "cluster", pieces.alias("pieces"))
+    own = hubs.select("cluster", F.col("doc_id").alias("hub"))
+    spokes = large.where("not centre").join(own, "cluster").select("doc_id", "cluster", "hub", F.pmod(F.xxhash64("doc_id"), pieces).alias("piece"))
+
+    def by_piece(of: DataFrame) -> DataFrame:
+        return of.repartition("cluster", "piece").sortWithinPartitions("cluster", "piece", "spoke")
+
+    def with_hubs(some: DataFrame) -> DataFrame:
+        centres = some.select("cluster", "piece", "hub").distinct().select(F.col("hub").alias("doc_id"), "cluster", "piece", F.lit(False).alias("spoke"))
+        return some.select("doc_id", "cluster", "piece", F.lit(True).alias("spoke")).union(centres)
+
+    def linked(some: DataFrame) -> DataFrame:
+        found = "cluster long, piece long, doc_id long, centre long"
+        near = checkpointed(by_piece(with_hubs(some).join(bitmaps, "doc_id")).mapInArrow(frugal(lambda batches: _centre_links(batches, percent, False)), found))
+        asked = checkpointed(with_hubs(some.join(near.select("cluster", "doc_id"), ["cluster", "doc_id"], "left_semi").select(*some.columns)))
+        return checkpointed(by_piece(_with_sets(rows, asked, words)).mapInArrow(frugal(lambda batches: _centre_links(batches, percent, True)), found).distinct())
+
+    if not large.take(1):
+        none = large.select("cluster", "doc_id")
+        return none, none.toDF("u", "v")
+    first = linked(checkpointed(spokes.join(spokes.groupBy("doc_id").agg(F.min("cluster").alias("cluster")), ["doc_id", "cluster"], "left_semi").select(*spokes.columns)))
+    known = connected_components(first.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")))
+    placed = spokes.join(known, F.col("doc_id") == F.col("node"), "left").withColumn("a", F.coalesce("component", "doc_id")).drop("node", "component")
+    placed = checkpointed(placed.join(known, F.col("hub") == F.col("node"), "left").withColumn("b", F.coalesce("component", "hub")).drop("node", "component"))
+    connected = placed.where("a = b").select("cluster", "doc_id")
+    tried = spokes.groupBy("doc_id").agg(F.min("cluster").alias("cluster"))
+    rest = linked(checkpointed(placed.where("a <> b").join(tried, ["doc_id", "cluster"], "left_anti").select(*spokes.columns)))
+    held = connected.union(rest.select("cluster", "doc_id")).union(hubs.select("cluster", "doc_id")).distinct()
+    links = first.union(rest).select(F.col("doc_id").alias("u"), F.col("centre").alias("v"))
+    return held, links
+
+
+def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", star: int = 64, block: int = 256) -> DataFrame:
     """One row per document: ``doc_id`` (long), ``n_shingles``, ``component_id`` (smallest id reachable by links, itself included).
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word shingles is ``percent`` / 100 or more,
     exactly. Texts without words (null, empty, blank) have an empty set and link with nothing. A null id is
-    linked with nothing. Repeated rows of an id are one document in its component. An empty table gives no rows.
+    linked with nothing. Repeated rows of an id are one document in its component; very long texts are read whole. Equal texts
+    have equal sets, whose links count once. An empty table gives no rows; other columns aren't read, whatever their names.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, shingles, at in shingle_sets(b.column("text"), words):
-                n = np.diff(at)
-                low = np.zeros((2, len(n)), np.uint64)
-                full = n > 0
-                if full.any():
-                    low[0, full] = np.add.reduceat(_mix(shingles ^ MIX_B), at[:-1][full])
-                    low[1, full] = np.bitwise_xor.reduceat(_mix(shingles + MIX_A), at[:-1][full])
-                yield pa.record_batch([b.column("doc_id").slice(first, len(n)), pa.array(n), pa.array(low[0].view(np.int64)), pa.array(low[1].view(np.int64)), pa.array([bitmap(shingles[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "n_shingles", "s", "x", "bits"])
-
-    sets = written(rows.mapInArrow(summed, "doc_id long, n_shingles long, s long, x long, bits binary"), "sets")
+                n, s, x = _sums_of(shingles, at)
+                yield pa.record_batch([b.column("doc_id").slice(first, len(n)), pa.array(n), pa.array(s), pa.array(x), pa.array([bitmap(shingles[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "n_shingles", "s", "x", "bits"])
+
+    sets = written(rows.mapInArrow(frugal(summed, "shingles"), "doc_id long, n_shingles long, s long, x long, bits binary"), "sets")
     equal = ["n_shingles", "s", "x"]
     whole = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     firsts = checkpointed(whole.groupBy(*equal).agg(F.min("doc_id").alias("first")))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            there = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for first, shingles, at in shingle_sets(b.column("text"), words):
                 keys, of = [], []
-                for i in range(len(at) - 1):
-                    if at[i] < at[i + 1]:
-                        k = segment_keys(shingles[at[i] : at[i + 1]], percent)
-                        keys.append(k)
-                        of.append(np.full(len(k), ids[first + i]))
+                n, s, _ = _sums_of(shingles, at)
+                for i in np.flatnonzero((n > 0) & there[first : first + len(n)]).tolist():
+                    own = int(s[i])
+                    if own in seen:  # a copy
+                        continue
+                    if len(seen) >= MEMORY:
+                        seen.clear()
+                    seen.add(own)
+                    k = segment_keys(shingles[at[i] : at[i + 1]], percent)
+                    keys.append(k)
+                    of.append(np.full(len(k), own))
                 if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of).astype(np.int64))], names=["key", "doc_id"])
-
-    # rows of a key meet once: a key with one set falls away, others gather their sets around the smallest; two sets
-    # that share a key meet in its star, and sets that only a chain of keys connects don't
-    keys = rows.where(F.col("doc_id").isNotNull()).mapInArrow(keyed, "key long, doc_id long")
-    low = F.min("doc_id").over(Window.partitionBy("key"))
-    rays = checkpointed(keys.withColumn("cluster", low).where("doc_id <> cluster").select("doc_id", "cluster").distinct())
-    clusters = rays.union(rays.select(F.col("cluster").alias("doc_id"), "cluster").distinct())
-    # of equal sets only the first goes on; linked sizes are in the same class or in neighbouring ones
+                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of))], names=["key", "s"])
+
+    # rows of a key meet once: a key with one set falls away, others gather their sets around one of them; two sets
+    # that share a key meet in its star, and sets that only a chain of keys connects don't. Of copies few rows come, one from each task.
+    keys = rows.mapInArrow(frugal(keyed, "shingles"), "key long, s long")
+    low = F.min("s").over(Window.partitionBy("key"))
+    rays = checkpointed(keys.withColumn("cluster", low).where("s <> cluster").select("s", "cluster").distinct())
+    clusters = rays.union(rays.select(F.col("cluster").alias("s"), "cluster").distinct())
+    # sets go by their first document; linked sizes are in the same class or in neighbouring ones
     width = math.log(100 / percent) * 1.0001
-    clusters = checkpointed(clusters.join(firsts.select(F.col("first").alias("doc_id"), F.floor(F.log(F.col("n_shingles").cast("double")) / width).alias("size_class")), "doc_id"))
-    counts = checkpointed(clusters.groupBy("cluster", "size_class").agg(F.count(F.lit(1)).alias("n")))
-    placed = clusters.join(counts.groupBy("cluster").agg(F.sum("n").alias("n")), "cluster")
-    for name, shift in (("n0", 0), ("n1", 1), ("n2", -1)):
-        near = counts.select("cluster", (F.col("size_class") - shift).alias("size_class"), F.col("n").alias(name))
-        placed = placed.join(near, ["cluster", "size_class"], "left")
-    blocks = {n: F.ceil(F.coalesce(F.col(n), F.lit(0)) / block).cast("long") for n in ("n0", "n1", "n2")}
-    parts = [F.when(blocks[n] > 0, F.transform(F.sequence(F.lit(0).cast("long"), blocks[n] - 1), lambda x, k=k: (F.col("size_class") + k) * BLOCKS + x)).otherwise(F.array().cast("array<bigint>")) for n, k in (("n0", 0), ("n1", 1), ("n2", -1))]
+    known = firsts.select(F.col("first").alias("doc_id"), "s", F.floor(F.log(F.col("n_shingles").cast("double")) / width).alias("size_class"))
+    clusters = checkpointed(clusters.join(known, "s").select("doc_id", "cluster", "size_class", (F.col("s") == F.col("cluster")).alias("centre")))
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    clusters = checkpointed(clusters.join(sizes, "cluster").where("members > 1"))
+    bitmaps = sets.select("doc_id", "n_shingles", F.col("bits").alias("own")).where("n_shingles > 0")
+
+    held, links = _star_links(rows, clusters, bitmaps, words, percent, star, block)
+    clusters = checkpointed(clusters.join(held.withColumn("held", F.lit(True)), ["cluster", "doc_id"], "left").withColumn("held", F.coalesce("held", F.lit(False))))
+
+    # blocks of each size class; the held ones of a star meet only the others
+    most = lambda k: F.greatest(F.lit(min(block, BLOCK_LEAST)), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES / 8) / F.exp((F.col("size_class") + k) * F.lit(width))))).cast("long")
+    counts = checkpointed(clusters.groupBy("cluster", "size_class", "held").agg(F.count(F.lit(1)).alias("n")))
+    placed, parts = clusters, []
+    for k in (0, 1, -1):
+        for held in (False, True):
+            name = f"n{k}{held}".replace("-", "m")
+            near = counts.where(F.col("held") == held).select("cluster", (F.col("size_class") - k).alias("size_class"), F.col("n").alias(name))
+            placed = placed.join(near, ["cluster", "size_class"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+            blocks = F.ceil(F.col(name) / most(k)).cast("long")
+            base = (F.col("size_class") + k) * BLOCKS + (BLOCKS // 2 if held else 0)
+            listed = F.sequence(base, base + blocks - 1)
+            wanted = (blocks > 0) & (~F.col("held") if held else F.lit(True))
+            parts.append(F.when(wanted, listed).otherwise(F.array().cast("array<bigint>")))
+    own = F.when(F.col("held"), F.ceil(F.col("n0True") / most(0))).otherwise(F.ceil(F.col("n0False") / most(0))).cast("long")
     # a small star is one block that meets itself, so that each of its sets is sent once
-    small = F.col("n") <= block
+    small = F.col("members") <= min(block, 128)
+    company = F.col("n0False") + F.col("n1False") + F.col("nm1False") + F.when(F.col("held"), 1).otherwise(F.col("n0True") + F.col("n1True") + F.col("nm1True"))
     dealt = checkpointed(
-        placed.where(F.col("n0") + F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)) > 1)
-        .withColumn("block", F.when(small, F.lit(WHOLE).cast("long")).otherwise(F.col("size_class") * BLOCKS + F.pmod(F.xxhash64("doc_id"), blocks["n0"])))
+        placed.where(company > 1)
+        .withColumn("block", F.when(small, F.lit(WHOLE).cast("long")).otherwise(F.col("size_class") * BLOCKS + F.pmod(F.xxhash64("doc_id"), own) + F.when(F.col("held"), BLOCKS // 2).otherwise(0)))
         .select("doc_id", "cluster", "block", F.when(small, F.array("block")).otherwise(F.concat(*parts)).alias("others"))
+        .where(F.size("others") > 0)
     )
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, shingles, at in shingle_sets(b.column("text"), words):
-                n = len(at) - 1
-                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(shingles))])
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, n) for c in ("doc_id", "cluster", "block", "others")), raw], names=["doc_id", "cluster", "block", "others", "shingles"])
-
     def meeting(of: DataFrame, *last: str) -> DataFrame:
         pairs = of.withColumn("other", F.explode("others")).select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "doc_id", "block", *last)
         return pairs.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
 
     # bitmaps meet first, a hundredth of the sets' bytes; only sets that may link are sent whole
-    thin = meeting(sets.select("doc_id", "n_shingles", "bits").where("n_shingles > 0").join(dealt, "doc_id"), "n_shingles", "bits")
-    may = checkpointed(thin.mapInArrow(lambda batches: _candidates(batches, percent), "doc_id long, cluster long").distinct())
+    thin = meeting(bitmaps.withColumnRenamed("own", "bits").join(dealt, "doc_id"), "n_shingles", "bits")
+    may = checkpointed(thin.mapInArrow(frugal(lambda batches: _candidates(batches, percent)), "doc_id long, cluster long").distinct())
     dealt = checkpointed(dealt.join(may, ["doc_id", "cluster"], "left_semi"))
-    whole_sets = rows.join(dealt, "doc_id").select("doc_id", "cluster", "block", "others", "text").mapInArrow(packed, "doc_id long, cluster long, block long, others array<long>, shingles binary")
-    links = meeting(whole_sets, "shingles").mapInArrow(lambda batches: _block_links(batches, percent), "u long, v long")
-    found = connected_components(links)
+    whole_sets = _with_sets(rows, dealt, words).withColumnRenamed("own", "shingles")
+    inner = meeting(whole_sets, "shingles").mapInArrow(frugal(lambda batches: _block_links(batches, percent)), "u long, v long")
+    found = connected_components(inner.union(links))
     first_of = checkpointed(firsts.join(found, F.col("first") == F.col("node"), "left").select(*[F.col(c).alias(f"_{c}") for c in equal], F.coalesce("component", "first").alias("component")))
     same = (F.col("n_shingles") == F.col("_n_shingles")) & (F.col("s") == F.col("_s")) & (F.col("x") == F.col("_x"))
     return sets.join(first_of, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def _sums_of(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two 64-bit sums of each set; equal sets have them equal."""
+    n, full = np.diff(at), np.diff(at) > 0
+    low = np.zeros((2, len(n)), np.uint64)
+    if full.any():
+        low[0, full] = np.add.reduceat(_mix(shingles ^ MIX_B), at[:-1][full])
+        low[1, full] = np.bitwise_xor.reduceat(_mix(shingles + MIX_A), at[:-1][full])
+    return n, low[0].view(np.int64), low[1].view(np.int64)
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns as they are, of the document with the smallest id in each group; rows with a null id link with nothing and all stay."""
-    stay = jaccard_groups(docs, words, percent, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col(id_col) == F.col("_stays"), "left_semi").union(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs``, columns as they are, of the document with the smallest id in each group.
+
+    Rows with a null id link with nothing and all stay, as do null, empty and blank texts. Repeated rows of an id that stays all stay.
+    An empty table gives no rows.
+    """
+    own = unused(docs, "own")
+    stay = jaccard_groups(docs, words, percent, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stay, F.col(id_col).cast("long") == F.col(own), "left_semi").union(docs.where(F.col(id_col).isNull()))

@@ -137,7 +137,7 @@ def test_jaccard(docs, rows, empty, words, percent):
                 both = len(sets[i] & sets[j])
                 if both and 100 * both >= percent * len(sets[i] | sets[j]):
                     low[i] = low[j] = min(low[i], low[j])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(docs, words, percent, block=4).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(docs, words, percent, star=4, block=4).collect()}
     assert got == {i: (len(sets[i]), low[i]) for i in sets}
     assert drop_near_duplicates(docs, words, percent).columns == docs.columns
     assert jaccard_groups(empty).count() == 0
