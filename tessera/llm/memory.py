@@ -42,8 +42,12 @@ def frugal(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     return run
 
 
+#: Rows of an Arrow batch: Spark's default, and what operators here ask for.
+_ROWS = ("10000", "4000", "1000")
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Texts go to Python in Arrow batches of so many rows, a tenth of Spark's default, unless the session has chosen its own."""
-    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(name, default) == default:
+    """Texts go to Python in Arrow batches of so many rows, fewer than Spark's default, unless the session has chosen its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, _ROWS[0]) in _ROWS:
         spark.conf.set(name, str(rows))

@@ -55,7 +55,7 @@ def pack_documents(
     """
     if longest & (longest - 1):
         raise ValueError("the sequence length must be a power of two")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4_000)  # pieces repeat, so larger slices have less to encode
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,7 +97,7 @@ def write_token_files(
     many rows of one id may span parts. An empty table makes an empty index. Other columns aren't read, whatever their names.
     The dictionary is trained on a bounded sample: ``sample_docs`` documents, ``sample_bytes`` of each; texts are written whole.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4_000)  # pieces repeat, so larger slices have less to encode
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(max(-(-total // file_bytes), rows.sparkSession.sparkContext.defaultParallelism), most_parts)

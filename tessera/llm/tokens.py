@@ -20,7 +20,7 @@ import pyarrow as pa
 from tessera.llm.memory import keeps
 
 #: Bytes of text that are cut at a time; longer single texts are taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _cut(data: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def splits_at_pieces(config: dict) -> bool:
 class PieceEncoder:
     """Encodes columns of text; ``cache`` bounds the number of pieces that are kept, of ``longest`` bytes at most."""
 
-    def __init__(self, path: str, cache: int = 120_000, longest: int = 32):
+    def __init__(self, path: str, cache: int = 500_000, longest: int = 32):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task for each core
         from tokenizers import Tokenizer
 
@@ -97,23 +97,25 @@ class PieceEncoder:
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         """Each piece's ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.cache:
-            self.known = {}
-        known = self.known
+        known, room = self.known, self.cache - len(self.known)  # what comes first is what comes most
         out = [known.get(p) for p in pieces]
         other = []
         for i in [i for i, x in enumerate(out) if x is None]:
             piece = pieces[i]
             if len(piece) <= self.longest and PLAIN.fullmatch(piece):
-                known[piece] = out[i] = self._plain(piece)
+                out[i] = ids = self._plain(piece)
+                if room > 0:
+                    known[piece] = ids
+                    room -= 1
             else:
                 other.append(i)
         for k in range(0, len(other), 1024):
             some = other[k : k + 1024]
             for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in some], add_special_tokens=False), strict=True):
                 out[i] = ids = array("I", e.ids).tobytes()
-                if len(pieces[i]) <= self.longest:
+                if room > 0 and len(pieces[i]) <= self.longest:
                     known[pieces[i]] = ids
+                    room -= 1
         return out
 
     def _slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
