@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.alignment import align_documents
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.language import identify_languages
 from tessera.llm.line_dedup import dedup_lines
@@ -80,6 +81,10 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OPERATORS = (
     op1_exact_dedup,
     op2_vector_dedup,
@@ -91,6 +96,7 @@ OPERATORS = (
     op8_toxicity_chain,
     op9_shard_documents,
     op10_pack_documents,
+    op11_cross_tokenizer,
 )
 
 
