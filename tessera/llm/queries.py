@@ -15,12 +15,30 @@ from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.mixing import mix_sources, quality_weights
 from tessera.llm.near_dedup import jaccard_groups
 from tessera.llm.packing import pack_documents
+from tessera.llm.quality import FOUR_WORDS, GAP, MENU, NAVIGATION, NOTICES, NOT_WORD, SENTENCE_END, WORD, clean_documents
 from tessera.llm.sharding import shard_documents
 from tessera.llm.storage import new_folder
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.toxicity import score_toxicity
 from tessera.llm.vector_dedup import vector_groups
 
+#: The rules of quality.py again; windows of words are counted as lists, not as hashes.
+QUALITY_SQL = rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '{WORD}+') AS ws, string_split(t, chr(10)) AS ls FROM d),
+    g AS (SELECT r, i, ws[i:i + 7] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+    p AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS same FROM g), range(0, 8) AS s(k) WHERE same > 1 GROUP BY r),
+    l AS (SELECT r, unnest(ls) AS l FROM w),
+    j AS (SELECT r, l, regexp_matches(l, '{WORD}') AS worded, length(l) - length(regexp_replace(l, '{NOT_WORD}', '', 'g')) AS marks,
+            length(regexp_replace(l, '{GAP}', '', 'g')) AS seen FROM l),
+    f AS (SELECT r, l, worded, seen, worded AND (NOT regexp_matches(l, '{SENTENCE_END.replace("'", "''")}') AND regexp_matches(l, '{FOUR_WORDS}') OR marks >= 4 AND 100 * marks > 25 * length(l)
+            OR regexp_matches(l, '{MENU}') OR regexp_matches(l, '{NAVIGATION}') OR {" OR ".join(f"contains(lower(l), '{x}')" for x in NOTICES)}) AS fails FROM j),
+    a AS (SELECT r, count(*) AS n_lines, count(*) FILTER (worded) - count(DISTINCT l) FILTER (worded) AS dups, count(*) FILTER (fails) AS removed,
+            coalesce(sum(seen) FILTER (fails), 0)::BIGINT AS lost FROM f GROUP BY r),
+    b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{GAP}+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+            dups AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, n_lines, removed AS n_removed, lost AS lost_chars FROM w JOIN a USING (r) LEFT JOIN p USING (r))
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_chars <= 50 * word_chars AS kept FROM b"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -85,6 +103,11 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = clean_documents(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed", "lost_chars")
+
+
 OPERATORS = (
     op1_exact_dedup,
     op2_vector_dedup,
@@ -97,6 +120,7 @@ OPERATORS = (
     op9_shard_documents,
     op10_pack_documents,
     op11_cross_tokenizer,
+    op12_quality_rules,
 )
 
 
@@ -129,4 +153,5 @@ def oracle_sql() -> dict[str, str]:
                     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
                   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
             SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - ahead)))::BIGINT AS taken FROM p""",
+        "op12_quality_rules": QUALITY_SQL,
     }
