@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.alignment import align_documents
+from tessera.llm.conversations import repair_conversations
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.language import identify_languages
 from tessera.llm.line_dedup import dedup_lines
@@ -108,6 +109,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed", "lost_chars")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(_table(spark, sf_dir, "conversations"), damage=True)
+
+
 OPERATORS = (
     op1_exact_dedup,
     op2_vector_dedup,
@@ -121,6 +126,7 @@ OPERATORS = (
     op10_pack_documents,
     op11_cross_tokenizer,
     op12_quality_rules,
+    op13_conversation_repair,
 )
 
 
