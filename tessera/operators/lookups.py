@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from tessera.operators.metrics import r6
 from tessera.operators.paging import SMALL, page_after
 
-# What happens to a failed step of a type by default.
-HANDLERS = {"click": "retry", "view": "continue", "purchase": "fail"}
+# What happens to a failed step of a type by default: strategy, retries, milliseconds before a retry.
+HANDLERS = {
+    "shell_command": ("retry", 2, 1000),
+    "mcp_call": ("retry", 3, 500),
+    "state_update": ("fail", 0, 0),
+    "conditional": ("fail", 0, 0),
+    "user_input": ("continue", 0, 0),
+}
 
 
 def by_id(rows: DataFrame, column: str, value: object) -> DataFrame:
@@ -35,20 +41,24 @@ def completion(total: Column, done: Column) -> Column:
     return r6(F.when(total == 0, 0.0).otherwise(100 * done / total))
 
 
-def default_handler(kind: Column, otherwise: str = "continue") -> Column:
-    """The default strategy for a type of step."""
-    out = F.lit(otherwise)
-    for name, handler in HANDLERS.items():
-        out = F.when(kind == name, handler).otherwise(out)
+def default_handler(kind: Column, handlers: dict[str, tuple[str, int, int]] = HANDLERS, otherwise: tuple[str, int, int] = ("fail", 0, 0)) -> Column:
+    """The default ``strategy``, ``retries`` and ``delay_ms`` for a type of step, as a struct; types without a handler fail at once."""
+    as_struct = lambda h: F.struct(F.lit(h[0]).alias("strategy"), F.lit(h[1]).alias("retries"), F.lit(h[2]).alias("delay_ms"))
+    out = as_struct(otherwise)
+    for name, handler in handlers.items():
+        out = F.when(kind == name, as_struct(handler)).otherwise(out)
     return out
 
 
 def recovery_plan(errors: DataFrame, rules: DataFrame, kind: str, value: str) -> DataFrame:
-    """Errors with the action of the first rule (``kind, least, priority, action``; a small table) that covers them; others are escalated."""
-    named = rules.select(F.col("kind").alias("of"), "least", "priority", "action")
-    hit = errors.join(F.broadcast(named), (F.col(kind) == F.col("of")) & (F.col(value) >= F.col("least")), "left")
-    best = F.row_number().over(Window.partitionBy(*errors.columns).orderBy(F.col("priority").asc_nulls_last()))
-    return hit.withColumn("_n", best).where("_n = 1").select(*errors.columns, F.coalesce("action", F.lit("escalate")).alias("action"))
+    """Errors with the action of the first rule (``kind, least, priority, action``) that covers them; others are escalated.
+
+    A kind's rules are gathered in one row first, so an error meets one row at most, and equal errors stay as many as they are.
+    """
+    listed = rules.groupBy(F.col("kind").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("priority", "least", "action"))).alias("_rules"))
+    hit = errors.join(listed, F.col(kind) == F.col("_of"), "left")
+    first = F.get(F.filter("_rules", lambda r: F.col(value) >= r["least"]), F.lit(0))
+    return hit.select(*[F.col(f"`{c}`") for c in errors.columns], F.coalesce(first["action"], F.lit("escalate")).alias("action"))
 
 
 def statuses(events: DataFrame, key: str, order: list[str], started: Column, ended: Column, failed: Column) -> DataFrame:

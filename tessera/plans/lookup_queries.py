@@ -34,9 +34,19 @@ def completion_rates(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(L.completion(F.count(F.lit(1)), F.count_if(F.col("o_orderstatus") == "F")).alias("done"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'retry' WHEN 'view' THEN 'continue' WHEN 'purchase' THEN 'fail' ELSE 'continue' END AS handler FROM events""")
+#: The type of step that an event of the table stands for.
+STEPS = {"click": "user_input", "view": "conditional", "purchase": "mcp_call", "signup": "shell_command"}
+
+
+@query("""WITH s AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'user_input' WHEN 'view' THEN 'conditional' WHEN 'purchase' THEN 'mcp_call' WHEN 'signup' THEN 'shell_command' ELSE 'other' END AS step FROM events)
+    SELECT event_id, step, CASE step WHEN 'user_input' THEN 'continue' WHEN 'mcp_call' THEN 'retry' WHEN 'shell_command' THEN 'retry' ELSE 'fail' END AS strategy,
+    CASE step WHEN 'mcp_call' THEN 3 WHEN 'shell_command' THEN 2 ELSE 0 END AS retries, CASE step WHEN 'mcp_call' THEN 500 WHEN 'shell_command' THEN 1000 ELSE 0 END AS delay_ms FROM s""")
 def default_handlers(spark, d):
-    return table(spark, d, "events").select("event_id", L.default_handler(F.col("event_type")).alias("handler"))
+    """Each failed step's default handling by its type."""
+    step = F.lit("other")
+    for name, kind in STEPS.items():
+        step = F.when(F.col("event_type") == name, kind).otherwise(step)
+    return table(spark, d, "events").select("event_id", step.alias("step")).select("event_id", "step", L.default_handler(F.col("step")).alias("h")).select("event_id", "step", "h.*")
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'error' AND value >= 80 THEN 'restart' WHEN event_type = 'error' THEN 'retry' WHEN event_type = 'view' AND value >= 50 THEN 'skip' ELSE 'escalate' END AS action FROM events""")

@@ -69,16 +69,14 @@ def scan(spark: SparkSession, root: str, patterns: str | list[str]) -> DataFrame
 def texts(files: DataFrame, encodings: tuple[str, ...] = ("UTF-8", "UTF-16", "ISO-8859-1")) -> DataFrame:
     """``path, text, encoding, chars``: decoded by a mark at the beginning, then UTF-8, then the encodings in turn that decode without loss.
 
-    A file is read as Latin-1 at last, which always succeeds.
+    A file is read as Latin-1 at last, which always succeeds. Characters that a text holds stay, the replacement character (U+FFFD) included.
     """
     c = F.col("content")
     marked = F.when(F.hex(F.substring(c, 1, 2)).isin("FFFE", "FEFF"), "UTF-16")
-    loss = F.lit("�")
-    # invalid bytes decode to a replacement character; a text that holds one of its own is taken for invalid, too
     options = [F.when(~F.try_validate_utf8(c.cast("string")).isNull(), c.cast("string")) if e == "UTF-8" else F.decode(c, e) for e in encodings]
     picked = F.coalesce(marked, F.when(F.try_validate_utf8(c.cast("string")).isNotNull(), "UTF-8"), F.lit(encodings[-1]))
     text = F.when(picked == "UTF-16", F.decode(c, "UTF-16")).when(picked == "UTF-8", options[0]).otherwise(F.decode(c, encodings[-1]))
-    return files.select("path", F.replace(text, loss, F.lit("")).alias("text"), picked.alias("encoding")).withColumn("chars", F.length("text"))
+    return files.select("path", text.alias("text"), picked.alias("encoding")).withColumn("chars", F.length("text"))
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:

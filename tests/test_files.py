@@ -20,6 +20,11 @@ def test_scan_reads_what_matches(spark, tmp_path):
         files.pattern_list([])
 
 
+def test_replacement_characters_of_a_text_stay(spark):
+    rows = spark.createDataFrame([("a", bytearray("x\ufffdy".encode())), ("b", bytearray(b"x\xff")), ("c", bytearray("\ufeffa\ufffd".encode("utf-16-le")))], "path string, content binary")
+    assert {r.path: (r.text, r.chars) for r in files.texts(rows).collect()} == {"a": ("x\ufffdy", 3), "b": ("x\xff", 2), "c": ("a\ufffd", 2)}
+
+
 def test_globs_and_braces():
     import re
 

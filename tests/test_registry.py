@@ -29,4 +29,4 @@ def test_query_matches_oracle(spark, duck, name):
     columns = sorted(got.columns)
     want = duck.sql(ORACLES[name])
     assert sorted(want.columns) == columns
-    assert plain(got.select(*columns).collect()) == plain(want.select(", ".join(f'"{c}"' for c in columns)).fetchall())
+    assert plain(got.select(*[f"`{c}`" for c in columns]).collect()) == plain(want.select(", ".join(f'"{c}"' for c in columns)).fetchall())

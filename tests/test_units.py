@@ -27,3 +27,12 @@ def test_tool_output(spark):
     report = '[{"filePath":"a.js","messages":[{"line":1,"column":2,"severity":2,"ruleId":"r","message":"m","fix":{"text":""}},{"line":2,"column":1,"severity":1,"ruleId":"s","message":"n"}]}]'
     rows = lint_issues(spark.createDataFrame([(report,)], "value string")).collect()
     assert [(r.severity, r.fixable) for r in rows] == [("error", True), ("warning", False)]
+
+
+def test_repeated_errors_each_get_an_action(spark):
+    from tessera.operators import lookups
+
+    errors = spark.createDataFrame([("e", 1.0)] * 2 + [("e", 90.0), ("x", 5.0), (None, 1.0)], "kind string, v double")
+    rules = spark.createDataFrame([("e", 80.0, 1, "restart"), ("e", 0.0, 2, "retry")], "kind string, least double, priority int, action string")
+    got = sorted(((r.kind, r.v, r.action) for r in lookups.recovery_plan(errors, rules, "kind", "v").collect()), key=str)
+    assert got == sorted([("e", 1.0, "retry"), ("e", 1.0, "retry"), ("e", 90.0, "restart"), ("x", 5.0, "escalate"), (None, 1.0, "escalate")], key=str)
