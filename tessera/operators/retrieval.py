@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import shell_regex
 
-#: Most standards that are sent to every executor; beyond, the join goes without a broadcast.
-BROADCAST_ROWS = 10_000
+#: Characters of the longest grams by which patterns and parts of names are looked up in paths.
+GRAM = 3
+#: Shares into which texts are dealt for needles that fit them all.
+DEALS = 64
 # Factors of a standard's priority, of a session's phase and of its user's level.
 PRIORITY = {"required": 1.2, "important": 1.1, "recommended": 1.0}
 PHASE = {"exploration": 1.2, "refinement": 0.8}
@@ -45,23 +47,60 @@ def relevance(path: Column, category: Column, tags: Column, globs: Column, prior
     return score * factor(priority, PRIORITY)
 
 
+def grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text, as an array."""
+    at = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def literal_parts(glob: Column) -> Column:
+    """What any path that a shell pattern matches must hold, in lower case: its parts between wild cards, up to its first set of characters."""
+    return F.filter(F.split(F.regexp_replace(F.lower(glob), r"(?s)\[.*", ""), r"[*?]+"), lambda x: x != "")
+
+
+def indexed_needles(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """``id, gram, text``: pairs of a needle and a text that may hold it, by the needle's rarest gram.
+
+    ``needles`` (``id``, ``parts``: an array of strings that a text must hold all of; none for needles that fit any text), ``haystacks`` (``text``).
+    A gram is ``GRAM`` characters, or fewer where no part is so long. Grams are counted over all texts first; a needle with a gram that no text holds falls
+    away, the others meet only the texts that hold their rarest one, by an equi-join.
+    """
+    sizes = range(GRAM, 0, -1)
+    longest = F.coalesce(F.array_max(F.transform("parts", F.length)), F.lit(0))
+    own = F.lit(None).cast("array<string>")
+    cut_to = lambda size: F.flatten(F.transform("parts", lambda p: grams(p, size)))
+    for size in reversed(sizes):
+        own = F.when(longest >= size, cut_to(size)).otherwise(own)
+    wanted = needles.select("id", F.explode(F.array_distinct(own)).alias("gram"))
+    # needles without a part fit every text: these pairs are the result's own size, dealt out by the text's hash
+    mark = lambda n: F.concat(F.lit("any text "), n.cast("string"))
+    free = needles.where(longest == 0).select("id", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal")).select("id", mark(F.col("deal")).alias("gram"))
+    wanted = wanted.unionByName(free)
+    every = F.concat(*[grams(F.col("text"), n) for n in sizes], F.array(mark(F.pmod(F.xxhash64("text"), F.lit(DEALS)))))
+    cut = haystacks.select("text", F.explode(every).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    counts = cut.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.where(F.length("gram") <= GRAM).join(counts, "gram", "left").groupBy("id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.unionByName(free.select("id", "gram")).join(cut, "gram").select("id", "text")
+
+
 def relevant_standards(files: DataFrame, standards: DataFrame, path_col: str) -> DataFrame:
     """Pairs of a file and a standard (``category, tags, globs, priority``) with a positive score.
 
-    Up to ``BROADCAST_ROWS`` standards are sent to every executor. Beyond, what asks for a folder's whole name is an equi-join on the path's
-    folders; patterns and parts of names are no equality, so for these each block of files meets each block of standards, files times standards.
+    Whatever can score is something that the path holds: a category, a tag, or the literal parts of a pattern. These are looked up by their
+    rarest grams; only the pairs found are scored. Equal paths and equal standards are looked up once and stay as many as they are.
     """
-    score = relevance(F.col(path_col), F.col("category"), F.col("tags"), F.col("globs"), F.col("priority"))
-    if standards.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return files.join(F.broadcast(standards), score > 0).withColumn("score", score)
-    parts = F.split(F.lower(path_col), "/+")
-    names = F.filter(F.array_union(F.array(F.lower("category")), F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)), lambda x: x != "")
-    held = files.withColumn("folder", F.explode(F.array_distinct(F.slice(parts, F.lit(1), F.size(parts) - 1))))
-    named = standards.withColumn("named", F.explode(names))
-    whole = held.join(named, F.col("folder") == F.col("named")).drop("folder", "named").distinct().withColumn("score", score)
-    # the rest: pairs without a whole folder name in common that score by a pattern or a part of a name
-    rest = files.join(standards, (score > 0) & ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), names)).withColumn("score", score)
-    return whole.unionByName(rest)
+    texts = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    key = F.md5(F.to_json(F.struct("category", "tags", "globs", "priority"), {"ignoreNullFields": "false"}))
+    known = standards.select(key.alias("_id"), "category", "tags", "globs", "priority").distinct()
+    names = F.transform(F.filter(F.concat(F.array("category"), texts("tags")), lambda x: x != ""), lambda x: F.array(F.lower(x)))
+    anything = F.filter(texts("tags"), lambda x: x == "")  # an empty tag is a part of any path
+    needs = known.select("_id", F.explode(F.concat(names, F.transform(F.filter(texts("globs"), lambda x: x.isNotNull()), literal_parts), F.transform(anything, lambda x: F.array().cast("array<string>")))).alias("parts"))
+    lower = files.select(F.col(path_col).alias("_path"), F.lower(path_col).alias("text")).where("text is not null").distinct()
+    needles = needs.select(F.struct("_id", "parts").alias("id"), "parts").distinct()
+    near = indexed_needles(needles, lower.select("text").distinct()).select(F.col("id._id").alias("_id"), "text").distinct()
+    score = relevance(F.col("_path"), F.col("category"), F.col("tags"), F.col("globs"), F.col("priority"))
+    scored = near.join(lower, "text").join(known, "_id").withColumn("score", score).where("score > 0").select("_id", "_path", "score")
+    return files.join(scored, F.col(path_col) == F.col("_path")).join(standards.withColumn("_own", key), F.col("_id") == F.col("_own")).drop("_id", "_own", "_path").select(*files.columns, *standards.columns, "score")
 
 
 def session_budget(budget: Column, phase: Column, level: Column) -> Column:
