@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import running_total, settled, unused
+
 # Fixed values of the estimate: characters of a token and a margin; characters of a page's own JSON around its rows.
 CHARS, MARGIN, FRAME = 3.5, 1.1, 12
 #: Tables of so many rows or fewer are one page.
@@ -39,12 +41,66 @@ def most_chars(budget: int) -> int:
     return n
 
 
-def pages(rows: DataFrame, partition: str, order: list[str], chars: str, budget: int) -> DataFrame:
+#: Rows of a key that pass through one task; a key with more is paged by jumps.
+STREAM_ROWS = 1_000_000
+
+
+def pages(rows: DataFrame, partition: str, order: list[str], chars: str, budget: int, most: int = STREAM_ROWS) -> DataFrame:
     """``rows`` with ``page`` (from 0 in each partition): a page holds as many rows as its budget allows, one at least.
 
-    Where a page starts hangs on the page before, so rows of a partition pass through one task in order; give thin rows (keys and
-    ``chars``, the length of a row's JSON). Only the running length is kept.
+    Give thin rows (keys and ``chars``, the length of a row's JSON). Where a page starts hangs on the page before: keys of up to ``most`` rows stream
+    through a task in order, larger ones are many tasks' (``pages_by_jumps``); the pages are the same.
+    """
+    own = unused(rows, "own")
+    large = rows.groupBy(F.col(partition).alias(own)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(own)
+    if not large.take(1):
+        return _streamed(rows, partition, order, chars, budget)
+    large = settled(large)
+    same = F.col(partition).eqNullSafe(F.col(own))
+    few, many = rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+    return _streamed(few, partition, order, chars, budget).unionByName(pages_by_jumps(many, partition, order, chars, budget))
+
+
+def pages_by_jumps(rows: DataFrame, partition: str, order: list[str], chars: str, budget: int) -> DataFrame:
+    """The pages of ``pages`` by pointer doubling, without a loop over rows and with no key in one task.
+
+    Running lengths are found by ranges (``running_total``). A row's pointer leads to the row at which the next page would start if one started
+    here: the row that covers the length at which this page is full. Rows and lengths meet within stretches of one page's length. From the first row on,
+    pages are marked in rounds of jumps twice as long each time. Ties in ``order`` take any order.
     """
+    span = most_chars(budget) + 1 - FRAME  # what a page's rows may take, a comma after each
+    key, before, until = (unused(rows, x) for x in ("of", "before", "until"))
+    placed = settled(running_total(rows, partition, [F.col(c) for c in order], F.col(chars).cast("long") + 1, before))
+    stretch = lambda c: F.floor(c / span)
+    thin = placed.select(F.col(partition).alias(key), F.col(before).alias("id"), (F.col(before) + F.col(chars) + 1).alias(until))
+    found = lambda c: F.last(c, ignorenulls=True).over(Window.partitionBy(key, "stretch").orderBy("value", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    nothing = F.lit(None).cast("long")
+    # a row stands in its own stretch and, if it goes on, at the head of the next; no page reaches further
+    held = thin.select(key, stretch(F.col("id")).alias("stretch"), F.col("id").alias("value"), F.lit(0).alias("kind"), F.struct("id", F.col(until).alias("until")).alias("row"), nothing.alias("asks"), nothing.alias("end"))
+    heads = held.where(stretch(F.col("row.until") - 1) > F.col("stretch")).withColumn("stretch", F.col("stretch") + 1)
+    asked = thin.select(key, stretch(F.col("id") + span).alias("stretch"), (F.col("id") + span).alias("value"), F.lit(1).alias("kind"), F.lit(None).cast("struct<id:bigint,until:bigint>").alias("row"), F.col("id").alias("asks"), F.col(until).alias("end"))
+    met = held.unionByName(heads).unionByName(asked).withColumn("row", found("row")).where("kind = 1")
+    # a row longer than a page is one by itself; past the last row there is no page
+    onward = F.when(F.col("row.id") == F.col("asks"), F.col("end")).when(F.col("value") < F.col("row.until"), F.col("row.id"))
+    jump = settled(met.select(key, "asks", onward.alias("to")).where("to is not null"))
+    marks = new = settled(placed.select(F.col(partition).alias(key)).distinct().select(key, F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("page")))
+    length = 1
+    while True:
+        same = lambda a, b: F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col(f"a.{a}") == F.col(f"b.{b}"))
+        new = settled(marks.alias("a").join(jump.alias("b"), same("id", "asks")).select(F.col(f"a.{key}").alias(key), F.col("b.to").alias("id"), (F.col("a.page") + length).alias("page")))
+        if not new.take(1):
+            break
+        marks = settled(marks.unionByName(new))
+        jump = settled(jump.alias("a").join(jump.alias("b"), same("to", "asks")).select(F.col(f"a.{key}").alias(key), "a.asks", "b.to"))
+        length *= 2
+    # each row's page is that of the last mark before it, in its stretch or at its head
+    body = placed.select(F.col(partition).alias(key), stretch(F.col(before)).alias("stretch"), F.col(before).alias("value"), F.lit(1).alias("kind"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), nothing.alias("page"))
+    begun = marks.select(key, stretch(F.col("id")).alias("stretch"), F.col("id").alias("value"), F.lit(0).alias("kind"), F.lit(None).cast(body.schema["row"].dataType).alias("row"), "page")
+    paged = body.unionByName(begun).unionByName(begun.withColumn("stretch", F.col("stretch") + 1)).withColumn("page", found("page"))
+    return paged.where("kind = 1").select("row.*", "page")
+
+
+def _streamed(rows: DataFrame, partition: str, order: list[str], chars: str, budget: int) -> DataFrame:
     room = most_chars(budget)
 
     def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,6 +122,17 @@ def cursor_page(spark, d):
     return paging.pages(docs.select("doc_id", "source", "chars"), "source", ["doc_id"], "chars", 500).select("doc_id", "source", "page")
 
 
+@query(f"""WITH RECURSIVE o AS (SELECT doc_id, {_CHARS} AS chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+    w AS (SELECT 0::BIGINT AS i, -1::BIGINT AS page, 0::BIGINT AS used, NULL::BIGINT AS doc_id
+      UNION ALL SELECT o.i, CASE WHEN page < 0 OR floor((used + 1 + chars) / 3.5::DOUBLE * 1.1::DOUBLE) > 2000 THEN page + 1 ELSE page END,
+        CASE WHEN page < 0 OR floor((used + 1 + chars) / 3.5::DOUBLE * 1.1::DOUBLE) > 2000 THEN 12 + chars ELSE used + 1 + chars END, o.doc_id FROM w JOIN o ON o.i = w.i + 1)
+    SELECT doc_id, page FROM w WHERE i > 0""")
+def pages_of_one_key(spark, d):
+    """All documents as the pages of one response, by jumps: no task holds them all."""
+    docs = table(spark, d, "documents").withColumn("chars", paging.json_length("doc_id", "lang", "source", "n_chars"))
+    return paging.pages_by_jumps(docs.select("doc_id", F.lit("all").alias("response"), "chars"), "response", ["doc_id"], "chars", 2000).select("doc_id", "page")
+
+
 @query(f"""WITH o AS (SELECT doc_id, {_CHARS} AS chars FROM documents WHERE doc_id > 10), r AS (SELECT doc_id, sum(chars + 1) OVER (ORDER BY doc_id) - 1 + 12 AS used, row_number() OVER (ORDER BY doc_id) AS n FROM o)
     SELECT doc_id FROM r WHERE n = 1 OR floor(used / 3.5::DOUBLE * 1.1::DOUBLE) <= 700""")
 def page_after_cursor(spark, d):

@@ -39,6 +39,20 @@ def test_pages_never_pass_their_budget(spark):
     assert paging.page_after(rows.limit(0), "i", "chars", 10).count() == 0
 
 
+def test_pages_by_jumps_are_the_same(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(k, i, r.choice([1, 5, 30, 70, 400]), "x") for k in ("a", "b", None) for i in range(120)] + [("one", 0, 999, "x"), ("two", 0, 1, "x"), ("two", 1, 1, "x")]
+    frame = spark.createDataFrame(rows, "s string, i int, chars int, before string").repartition(5)
+    shown = lambda f: sorted(map(str, f.collect()))
+    for budget in (10, 40, 2000):
+        streamed = paging.pages(frame, "s", ["i"], "chars", budget)
+        assert shown(paging.pages_by_jumps(frame, "s", ["i"], "chars", budget)) == shown(streamed)
+        assert shown(paging.pages(frame, "s", ["i"], "chars", budget, most=50)) == shown(streamed)
+    assert paging.pages_by_jumps(frame.limit(0), "s", ["i"], "chars", 10).count() == 0
+
+
 def test_orders_in_two_levels(spark):
     rows = spark.createDataFrame([(k, float(v)) for k in ("a", None) for v in [3, 1, 2, 2, 9]] + [("b", None)], "k string, v double")
     at = {"low": F.lit(0), "mid": F.floor(F.col("n") / 2), "high": F.col("n") - 1}
