@@ -7,7 +7,9 @@ at the places where they differ. A template that several documents reach is recu
 stay in the document with the smallest id and are dropped from the others.
 
 Leaves are not compared all against all: of a line's places beyond the leading ones, one part more is made than
-places may differ, so two lines that agree well enough have an equal part, and meet by it.
+places may differ, so two lines that agree well enough have an equal part, and meet by it. Of a part that very many lines
+share, most are merged with the first line of a template in buckets; then every line outside the part's largest template meets
+all others that have a further part in common with it, so no agreeing pair is lost, whatever the size of the leaf.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ DIFFER = 5
 SLICE_BYTES = 512 << 10
 #: Masked lines that a task remembers, so that it sends the tokens of their copies once.
 MEMORY = 1 << 17
-#: Up to so many lines that share a part are compared all with all; beyond, with the templates found so far, in buckets.
+#: Up to so many lines that share a part are compared all with all; beyond, first with the templates found so far, in buckets.
 MANY, BUCKET, ROUNDS = 32, 512, 3
+#: Lines outside a key's largest template, and lines of the key, that are compared in one block.
+REST, BLOCK = 256, 4096
 
 
 def _running(mask: np.ndarray) -> np.ndarray:
@@ -233,6 +237,68 @@ def _gather(table: pa.Table, least: int) -> pa.Table:
     return pa.table({"u": leaf, "v": head, "key": table.column("key").take(pa.array(order))})
 
 
+def further_keys(tokens: np.ndarray, key: int) -> list[int]:
+    """Keys of a line under a key that many share: its places dealt into one part more than may differ, in another way than ``part_keys`` deals them.
+
+    Two lines that agree differ at no place of one of these parts, too.
+    """
+    n = len(tokens)
+    at = np.arange(n + 1)
+    bounds = np.arange(n // DIFFER + 2) * n // (n // DIFFER + 1)
+    placed = np.append(np.uint64(0), np.cumsum(_placed(tokens.astype(np.uint64), np.array([0, n]))))
+    sums = placed[at[bounds[1:]]] - placed[at[bounds[:-1]]]
+    return _mix(sums + _mix(np.full(len(sums), key, np.int64).view(np.uint64) + np.arange(len(sums), dtype=np.uint64) * BASE + np.uint64(n) * MIX_B)).view(np.int64).tolist()
+
+
+def _across(table: pa.Table, least: int) -> pa.Table:
+    """Of a block's lines outside the largest template, a link with a line of every other template that holds one they agree with."""
+    rest = table.column("rest").to_numpy(zero_copy_only=False)
+    raw, leaf, of = table.column("tokens").to_pylist(), table.column("u").to_numpy(), table.column("c").to_numpy()
+    links = {}
+    for size in {len(x) for x in raw}:  # equal hashes alone can bring other sizes here
+        own = np.array([len(x) == size for x in raw])
+        rows = np.stack([np.frombuffer(x, np.uint32) for x, o in zip(raw, own, strict=True) if o])
+        leaves, templates = leaf[own], of[own]
+        for i in np.flatnonzero(rest[own]):
+            near = np.flatnonzero((templates != templates[i]) & _agree(rows, rows[i], least))
+            for j in near[np.unique(templates[near], return_index=True)[1]]:
+                links[templates[i], templates[j]] = (leaves[i], leaves[j])
+    return pa.table({"u": pa.array([a for a, _ in links.values()], pa.int64()), "v": pa.array([b for _, b in links.values()], pa.int64())})
+
+
+def _left_links(shared: DataFrame, close: DataFrame, shown: DataFrame, least: int) -> DataFrame:
+    """Links that the buckets of keys with many lines have missed, all of them: ``u, v``.
+
+    ``shared`` (``u, key``) are all lines of such keys, ``close`` the links found so far. A link is missing between two templates only, so each line
+    outside its key's largest template meets all lines of the key that have a further part in common with it, block by block.
+    """
+    merged = connected_components(close)
+    of = shared.join(merged, F.col("u") == F.col("node"), "left").select("u", "key", F.coalesce("component", "u").alias("c"))
+    of = checkpointed(of)
+    sizes = of.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("templates")).where("templates > 1").select(F.col("key").alias("k"), "top")
+    told = of.join(largest, F.col("key") == F.col("k")).select("u", "key", "c", (F.col("c") != F.col("top")).alias("rest"))
+    whole = told.join(shown, F.col("u") == F.col("leaf")).select("u", "key", "c", "rest", "tokens")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [further_keys(np.frombuffer(t, np.uint32), k) for t, k in zip(b.column("tokens").to_pylist(), b.column("key").to_pylist(), strict=True)]
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for own in found for x in own], pa.int64()), *(b.column(c).take(rows) for c in ("u", "c", "rest", "tokens"))], names=["part", "u", "c", "rest", "tokens"])
+
+    parts = written(whole.mapInArrow(frugal(split, "lines"), "part long, u long, c long, rest boolean, tokens binary"), "line-parts")
+    counts = parts.groupBy("part").agg(F.count_if("rest").alias("rests"), F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("rests > 0 and low <> high")
+    # a block is some lines of the rest and some lines of the part: both are sent to each block that needs them
+    blocks = counts.select(F.col("part").alias("p"), F.ceil(F.col("rests") / REST).alias("across"), F.ceil(F.col("n") / BLOCK).alias("along"))
+    dealt = parts.join(blocks, F.col("part") == F.col("p"))
+    deal = lambda n: F.pmod(F.xxhash64("u"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
+    asking = dealt.where("rest").withColumn("x", deal("across")).withColumn("y", F.explode(every("along")))
+    asked = dealt.withColumn("y", deal("along")).withColumn("x", F.explode(every("across"))).withColumn("rest", F.lit(False))
+    met = asking.unionByName(asked).groupBy("part", "x", "y").applyInArrow(lambda t: _across(t, least), "u long, v long")
+    return checkpointed(met)
+
+
 def merged_leaves(lines: DataFrame, least: int, depth: int) -> DataFrame:
     """``node, component``: masked lines of a template and the smallest of them, where that is another one. ``lines``: ``leaf, tokens``."""
 
@@ -251,7 +317,7 @@ def merged_leaves(lines: DataFrame, least: int, depth: int) -> DataFrame:
     keys = lines.mapInArrow(frugal(keyed), "key long, leaf long").repartition("key").sortWithinPartitions("key", "leaf")
     met = written(keys.mapInArrow(frugal(_meet), "u long, v long, key long"), "line-pairs")
     pairs = checkpointed(met.where("v is not null").select("u", "v").distinct())
-    many = met.where("v is null").select("u", "key")
+    shared = many = met.where("v is null").select("u", "key")
     wanted = pairs.select("u").union(pairs.select("v")).union(many.select("u")).distinct()
     # of the copies of a masked line one goes on
     shown = written(lines.join(wanted, F.col("leaf") == F.col("u"), "left_semi").dropDuplicates(["leaf"]), "line-tokens")
@@ -265,6 +331,9 @@ def merged_leaves(lines: DataFrame, least: int, depth: int) -> DataFrame:
         near = checkpointed(full.groupBy("key", "bucket").applyInArrow(lambda t: _gather(t, least), "u long, v long, key long"))
         close = close.union(near.where("u <> v").select("u", "v"))
         many = near.where("u = v").select("u", "key")
+        close = checkpointed(close)
+    if shared.take(1):
+        close = close.union(_left_links(shared, close, shown, least))
     return connected_components(close)
 
 
