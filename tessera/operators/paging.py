@@ -72,7 +72,8 @@ def pages_by_jumps(rows: DataFrame, partition: str, order: list[str], chars: str
     key, before, until = (unused(rows, x) for x in ("of", "before", "until"))
     placed = settled(running_total(rows, partition, [F.col(c) for c in order], F.col(chars).cast("long") + 1, before))
     stretch = lambda c: F.floor(c / span)
-    thin = placed.select(F.col(partition).alias(key), F.col(before).alias("id"), (F.col(before) + F.col(chars) + 1).alias(until))
+    name = F.coalesce(F.concat(F.lit("="), F.col(partition).cast("string")), F.lit("")).alias(key)  # null is a key like any other
+    thin = placed.select(name, F.col(before).alias("id"), (F.col(before) + F.col(chars) + 1).alias(until))
     found = lambda c: F.last(c, ignorenulls=True).over(Window.partitionBy(key, "stretch").orderBy("value", "kind").rowsBetween(Window.unboundedPreceding, 0))
     nothing = F.lit(None).cast("long")
     # a row stands in its own stretch and, if it goes on, at the head of the next; no page reaches further
@@ -83,18 +84,17 @@ def pages_by_jumps(rows: DataFrame, partition: str, order: list[str], chars: str
     # a row longer than a page is one by itself; past the last row there is no page
     onward = F.when(F.col("row.id") == F.col("asks"), F.col("end")).when(F.col("value") < F.col("row.until"), F.col("row.id"))
     jump = settled(met.select(key, "asks", onward.alias("to")).where("to is not null"))
-    marks = new = settled(placed.select(F.col(partition).alias(key)).distinct().select(key, F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("page")))
+    marks = new = settled(placed.select(name).distinct().select(key, F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("page")))
     length = 1
     while True:
-        same = lambda a, b: F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col(f"a.{a}") == F.col(f"b.{b}"))
-        new = settled(marks.alias("a").join(jump.alias("b"), same("id", "asks")).select(F.col(f"a.{key}").alias(key), F.col("b.to").alias("id"), (F.col("a.page") + length).alias("page")))
+        new = settled(marks.join(jump.withColumnRenamed("asks", "id"), [key, "id"]).select(key, F.col("to").alias("id"), (F.col("page") + length).alias("page")))
         if not new.take(1):
             break
         marks = settled(marks.unionByName(new))
-        jump = settled(jump.alias("a").join(jump.alias("b"), same("to", "asks")).select(F.col(f"a.{key}").alias(key), "a.asks", "b.to"))
+        jump = settled(jump.withColumnRenamed("to", "mid").join(jump.withColumnRenamed("asks", "mid"), [key, "mid"]).select(key, "asks", "to"))
         length *= 2
     # each row's page is that of the last mark before it, in its stretch or at its head
-    body = placed.select(F.col(partition).alias(key), stretch(F.col(before)).alias("stretch"), F.col(before).alias("value"), F.lit(1).alias("kind"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), nothing.alias("page"))
+    body = placed.select(name, stretch(F.col(before)).alias("stretch"), F.col(before).alias("value"), F.lit(1).alias("kind"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), nothing.alias("page"))
     begun = marks.select(key, stretch(F.col("id")).alias("stretch"), F.col("id").alias("value"), F.lit(0).alias("kind"), F.lit(None).cast(body.schema["row"].dataType).alias("row"), "page")
     paged = body.unionByName(begun).unionByName(begun.withColumn("stretch", F.col("stretch") + 1)).withColumn("page", found("page"))
     return paged.where("kind = 1").select("row.*", "page")
