@@ -8,8 +8,10 @@ from tessera.functions import expressions as X
 from tessera.functions.templates import render, shortened
 from tessera.operators import paths, reliability, retrieval
 from tessera.operators.metrics import r6
+from tessera.operators.tables import new_folder
 from tessera.plans.registry import _TRANSITIONS, _hierarchy, _transitions, failed, query, table
 from tessera.sources import code
+from tessera.streaming import session_state
 
 _STANDARDS = """SELECT DISTINCT lang AS category, ['ref=', 'www'] AS tags, ['*//blog.*', '?' || lang] AS globs,
     CASE lang WHEN 'en' THEN 'required' WHEN 'de' THEN 'important' ELSE 'recommended' END AS priority FROM documents WHERE lang IS NOT NULL"""
@@ -166,3 +168,21 @@ def conflict_resolution(spark, d):
     """Writes to a key, resolved by first and by last writer."""
     at = F.struct("ts", "event_id")
     return table(spark, d, "events").groupBy("user_id").agg(F.min_by("props", at).alias("first_write"), F.max_by("props", at).alias("last_write"), F.count(F.lit(1)).alias("version"))
+
+
+@query("""WITH f AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type, CASE WHEN epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w > 86400000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS nth FROM f)
+    SELECT user_id, min(ms) AS began_ms, max(ms) AS last_ms, count(*) AS n, count(DISTINCT event_type) AS kinds FROM s GROUP BY user_id, nth""")
+def stream_sessions(spark, d):
+    """Sessions of a day's silence, kept as keyed state of a stream over the events until its end."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, session_state.PROVIDER)
+    try:
+        events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+        states = session_state.session_states(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "event_type", idle_ms=86_400_000, late="1 day")
+        told = session_state.drained(spark, states, new_folder(spark, "sessions"))
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    last = told.groupBy("key", "began_ms").agg(F.max("last_ms").alias("last_ms"), F.max("n").alias("n"), F.max("kinds").alias("kinds"))
+    return last.withColumnRenamed("key", "user_id")
