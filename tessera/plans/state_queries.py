@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import paging, state
+from tessera.operators import nested_state, paging, state
 from tessera.plans.registry import query, table
 
 
@@ -161,3 +161,25 @@ def path_page(spark, d):
 def json_tokens(spark, d):
     chars = paging.json_length("doc_id", "lang", "source", "n_chars")
     return table(spark, d, "documents").select("doc_id", paging.token_count(chars).alias("tokens"), paging.hint_tokens(chars).alias("hint_tokens"))
+
+
+@query("""SELECT user_id, nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS clicks, nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS views,
+    arg_min(event_id, (ts, event_id)) FILTER (WHERE event_type = 'view') AS first_view, arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS purchase,
+    arg_max('u' || user_id, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS owner, arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type = 'signup') AS signup,
+    arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type = 'error') AS error, nullif(count(*) FILTER (WHERE event_type = 'error'), 0) AS errors FROM events GROUP BY 1""")
+def nested_updates(spark, d):
+    """A log of set, increment, append and merge below paths that don't exist yet, folded to a document for each user and read by path."""
+    kind, i = F.col("event_type"), F.col("event_id").cast("string")
+    events = table(spark, d, "events")
+    row = lambda when, path, op, value: events.where(kind == when).select("user_id", "ts", "event_id", F.lit(path).alias("path"), F.lit(op).alias("op"), value.alias("value"))
+    log = row("click", "state.counters.clicks", "increment", F.lit(None).cast("string")).unionByName(row("view", "state.seen.views", "append", i))
+    log = log.unionByName(row("purchase", "state.last.purchase", "set", F.concat(F.lit('{"id": '), i, F.lit(', "by": {"name": "u'), F.col("user_id").cast("string"), F.lit('"}}'))))
+    log = log.unionByName(row("signup", "this.profile", "merge", F.concat(F.lit('{"signup": '), i, F.lit("}")))).unionByName(row("error", "state.last", "merge", F.concat(F.lit('{"error": '), i, F.lit("}"))))
+    log = log.unionByName(row("error", "state.counters.errors", "increment", F.lit("1")))
+    state = nested_state.fold_nested(log, "user_id", ["ts", "event_id"])
+    read = lambda path, as_: nested_state.read(F.col("state"), path, as_)
+    views = F.size(read("state.seen.views", "array<bigint>"))
+    return state.select(
+        "user_id", read("state.counters.clicks", "bigint").alias("clicks"), F.when(views > 0, views.cast("long")).alias("views"), read("state.seen.views.0", "bigint").alias("first_view"), read("state.last.purchase.id", "bigint").alias("purchase"),
+        read("state.last.purchase.by.name", "string").alias("owner"), read("this.profile.signup", "bigint").alias("signup"), read("state.last.error", "bigint").alias("error"), read("state.counters.errors", "bigint").alias("errors"),
+    )
