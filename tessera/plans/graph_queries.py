@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import components, graph, reach
+from tessera.operators import components, concurrency, graph, migration, reach
 from tessera.plans.registry import query, table
 
 
@@ -76,3 +76,28 @@ def reach_changes(spark, d):
 def reach_after(spark, d):
     """Dependents of each node after the batch, from the kept reach and its changes."""
     return reach.applied(*_changes(spark, d)).groupBy("dst").agg(F.count(F.lit(1)).alias("dependents"))
+
+
+@query("""WITH o AS (SELECT event_type AS kind, ts AS b, ts + to_microseconds((value * 60000000)::BIGINT) AS e FROM events WHERE value IS NOT NULL),
+    m AS (SELECT kind, t, sum(s) AS s FROM (SELECT kind, b AS t, 1 AS s FROM o UNION ALL SELECT kind, e, -1 FROM o) GROUP BY ALL HAVING sum(s) <> 0),
+    l AS (SELECT kind, sum(s) OVER w AS level, (epoch_us(lead(t) OVER w) - epoch_us(t)) / 1000.0::DOUBLE AS ms FROM m WINDOW w AS (PARTITION BY kind ORDER BY t)), x AS (SELECT kind, level, sum(ms) AS ms FROM l GROUP BY ALL)
+    SELECT kind, max(level)::BIGINT AS most, round(arg_max(ms, level), 3) AS most_ms, round(sum(ms) FILTER (WHERE level > 0), 3) AS busy_ms FROM x GROUP BY 1""")
+def most_at_once(spark, d):
+    """Operations of each kind that run at once; an event runs for as many minutes as its value tells."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, d, "events").where("value is not null")
+    runs = events.select(F.col("event_type").alias("kind"), F.timestamp_micros(micros).alias("b"), F.timestamp_micros(micros + F.rint(F.col("value") * 60_000_000).cast("long")).alias("e"))
+    return concurrency.most_at_once(runs, "kind", "b", "e")
+
+
+_STEPS = """s AS (SELECT s_nationkey AS src, c_nationkey AS dst, 1 + floor(min(l_extendedprice) / 50)::BIGINT AS cost FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_STEPS}, w AS (SELECT src, dst, cost, 1 AS n FROM s UNION SELECT w.src, s.dst, min(w.cost + s.cost), n + 1 FROM w JOIN s ON s.src = w.dst WHERE n < 8 AND s.dst <> w.src GROUP BY w.src, s.dst, n)
+    SELECT src, dst, min(cost)::BIGINT AS cost, arg_min(n, (cost, n))::BIGINT AS steps FROM w GROUP BY 1, 2""")
+def cheapest_ways(spark, d):
+    """Cheapest ways from nation to nation; a step costs as much as the cheapest delivery between the two."""
+    line, supplier, orders, customer = (table(spark, d, t) for t in ("lineitem", "supplier", "orders", "customer"))
+    sent = line.join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(customer, F.col("c_custkey") == F.col("o_custkey")).where("s_nationkey <> c_nationkey")
+    steps = sent.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg((1 + F.floor(F.min("l_extendedprice") / 50)).alias("cost"))
+    return migration.cheapest_ways(steps).select("src", "dst", "cost", (F.size("way") - 1).cast("long").alias("steps"))
