@@ -139,6 +139,16 @@ def restored(history: DataFrame, key: str, version: str, at: int) -> DataFrame:
     return history.unionByName(as_of(history, key, version, at).join(newest, key).withColumn(version, F.col("_top") + 1).drop("_top"))
 
 
+def pruned(history: DataFrame, key: str, version: str, keep: int) -> DataFrame:
+    """``history`` without what is older than each key's ``keep`` newest versions; rows of one version stay or go together.
+
+    Versions are counted, not rows, so a version that a key holds many rows of is one entry.
+    """
+    own = Window.partitionBy("_k").orderBy(F.desc("_v"))
+    newest = history.select(F.col(key).alias("_k"), F.col(version).alias("_v")).distinct().withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= keep).drop("_n")
+    return history.join(newest, F.col(key).eqNullSafe(F.col("_k")) & F.col(version).eqNullSafe(F.col("_v")), "left_semi")
+
+
 def scoped(*values: Column) -> Column:
     """The value of the innermost scope that has one."""
     return F.coalesce(*values)

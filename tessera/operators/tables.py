@@ -55,19 +55,15 @@ def running_total(rows: DataFrame, key: str, order: list[Column], amount: Column
     return placed.withColumn(name, F.col("base_sum") + F.col(inside)).select(*rows.columns, name)
 
 
-def order_statistics(rows: DataFrame, key: str, value: str, positions: dict[str, Column], ranges: int = 64) -> DataFrame:
+def order_statistics(rows: DataFrame, key: str, value: str, positions: dict[str, Column]) -> DataFrame:
     """``key`` and, for each name, the value at a 0-based position of the key's sorted values; positions are columns over ``n``, their number.
 
-    Equal values are counted first; of the distinct ones, ranges between approximate cuts are counted, then values within a range.
+    Equal values are counted first; the distinct ones are dealt out by ranges of key and value, as many as Spark makes of them, and counted through
+    (``running_total``), so a range doesn't grow with its key.
     """
-    shares = [i / ranges for i in range(1, ranges)]
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    cuts = counts.groupBy("k").agg(F.percentile_approx("v", shares, 1_000).alias("cuts"), F.sum("c").alias("n")).withColumnRenamed("k", "own")
-    ranged = counts.join(cuts, F.col("k").eqNullSafe(F.col("own"))).withColumn("r", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts", "own")
-    before = Window.unboundedPreceding
-    sums = ranged.groupBy(F.col("k").alias("own"), F.col("r").alias("of")).agg(F.sum("c").alias("s"))
-    bases = sums.select("own", "of", F.coalesce(F.sum("s").over(Window.partitionBy("own").orderBy("of").rowsBetween(before, -1)), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum("c").over(Window.partitionBy("k", "r").orderBy("v").rowsBetween(before, -1)), F.lit(0))
-    placed = ranged.withColumn("inside", inside).join(bases, F.col("k").eqNullSafe(F.col("own")) & (F.col("r") == F.col("of"))).withColumn("first", F.col("base") + F.col("inside"))
+    placed = running_total(counts, "k", [F.col("v")], F.col("c"), "first")
+    sizes = placed.groupBy(F.col("k").alias("own")).agg(F.sum("c").alias("n"))
+    met = placed.join(sizes, F.col("k").eqNullSafe(F.col("own")))
     at = {name: F.max(F.when((F.col("first") <= p) & (p < F.col("first") + F.col("c")), F.col("v"))).alias(name) for name, p in positions.items()}
-    return placed.groupBy(F.col("k").alias(key)).agg(F.max("n").alias("n"), *at.values())
+    return met.groupBy(F.col("k").alias(key)).agg(F.max("n").alias("n"), *at.values())

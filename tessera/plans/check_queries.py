@@ -9,7 +9,7 @@ from tessera.operators import graph, paths, state, validation
 from tessera.plans.code_queries import _P, code_files
 from tessera.plans.registry import _hierarchy, _transitions, query, table
 from tessera.plans.workflow_queries import _PATHS
-from tessera.sources import blocks, code, reports
+from tessera.sources import blocks, code, diagnostics, reports
 
 
 @query("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'segment:allowed' END, CASE WHEN length(c_name) > 17 AND c_custkey % 2 = 0 THEN 'name:max' END, CASE WHEN c_custkey % 3 = 0 THEN 'phone:required' END,
@@ -218,3 +218,50 @@ def latest_checkpoints(spark, d):
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     history = table(spark, d, "events").select("user_id", "value", nth.alias("version")).where("version % 4 = 0")
     return state.as_of(history, "user_id", "version", 1 << 40)
+
+
+def _compiler_output(spark, d):
+    """Output of a compiler for each part: an error, a warning with odd spaces, and lines that are no diagnostics."""
+    k, size = (F.col(c).cast("string") for c in ("p_partkey", "p_size"))
+    text = F.concat(F.lit("src/m"), k, F.lit(".ts("), size, F.lit(",7): error TS23"), F.lpad(size, 2, "0"), F.lit(": "), F.col("p_name"), F.lit("\nFound 1 error.\n  lib/n"), k, F.lit(".ts(1,"), size, F.lit("):  warning TS1:  "), F.col("p_brand"), F.lit("  \n\nsrc/a.ts(x,1): error TS2: no\n"))
+    return table(spark, d, "part").select(text.alias("value"))
+
+
+def _linter_output(spark, d):
+    """A linter's JSON report for each part, with one message that can be fixed and one that can't."""
+    part = table(spark, d, "part")
+    message = lambda line, severity, rule, fix: F.struct(line.cast("int").alias("line"), F.lit(3).alias("column"), F.lit(severity).alias("severity"), F.lit(rule).alias("ruleId"), F.col("p_brand").alias("message"), fix.alias("fix"))
+    fixed, none = F.struct(F.lit("x").alias("text")), F.lit(None).cast("struct<text:string>")
+    report = F.array(F.struct(F.concat(F.lit("src/m"), "p_partkey", F.lit(".ts")).alias("filePath"), F.array(message(F.col("p_size"), 2, "no-var", fixed), message(F.col("p_size") + 1, 1, "eqeqeq", none)).alias("messages")))
+    return part.select(F.to_json(report).alias("value"))
+
+
+_TSC = """SELECT 'src/m' || p_partkey || '.ts' AS file, p_size::INT AS line, 7 AS "column", 'error' AS severity, 'TS23' || lpad(p_size::VARCHAR, 2, '0') AS code, p_name AS message FROM part
+    UNION ALL SELECT 'lib/n' || p_partkey || '.ts', 1, p_size::INT, 'warning', 'TS1', p_brand FROM part"""
+_LINTED = """SELECT 'src/m' || p_partkey || '.ts' AS file, p_size::INT AS line, 3 AS "column", 'error' AS severity, 'no-var' AS rule, p_brand AS message, true AS fixable FROM part
+    UNION ALL SELECT 'src/m' || p_partkey || '.ts', p_size::INT + 1, 3, 'warning', 'eqeqeq', p_brand, false FROM part"""
+
+
+@query(_TSC)
+def compiler_diagnostics(spark, d):
+    return diagnostics.tsc_diagnostics(_compiler_output(spark, d))
+
+
+@query(_LINTED)
+def linter_issues(spark, d):
+    return diagnostics.lint_issues(_linter_output(spark, d))
+
+
+@query(f"""SELECT 'compiler' AS tool, * FROM ({_TSC}) UNION ALL SELECT 'linter', file, line, "column", severity, rule, message FROM ({_LINTED})""")
+def all_diagnostics(spark, d):
+    """Diagnostics of both tools as one table."""
+    return diagnostics.all_diagnostics(compiler=diagnostics.tsc_diagnostics(_compiler_output(spark, d)), linter=diagnostics.lint_issues(_linter_output(spark, d)))
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
+def history_cleanup(spark, d):
+    """What is left of a history of versions when all but the three newest of each workflow go."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    return state.pruned(table(spark, d, "events").select("user_id", nth.alias("version"), "value"), "user_id", "version", 3)

@@ -206,20 +206,28 @@ def call_edges(files: DataFrame, file_col: str, text_col: str, most: int = 50) -
     return placed.withColumn("nth", nth).where(F.col("nth") <= most).select("file", "caller", "callee")
 
 
-def candidates(module: Column, file: Column) -> Column:
-    """Paths that a relative module may stand for, in order: with each ending, then as a folder's index. Null for a module by name."""
+#: What may follow a module's path, in order: nothing, an ending, or a folder's index.
+ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+
+
+def module_path(module: Column, file: Column) -> Column:
+    """The path that a relative module means, without an ending; null for a module by name."""
     folder = F.regexp_replace(file, "/?[^/]*$", "")
     whole = F.when(module.startswith("/"), F.substring(module, F.lit(2), F.length(module))).otherwise(F.concat(folder, F.lit("/"), module))
     # ``..`` takes a folder away, ``.`` none
     steps = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), lambda done, s: F.when(s.isin("", "."), done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, s)))
-    base = F.array_join(steps, "/")
-    ends = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
-    return F.when(module.rlike("^[./]"), F.array(*[F.concat(base, F.lit(e)) for e in ends]))
+    return F.when(module.rlike("^[./]"), F.array_join(steps, "/"))
+
+
+def candidates(module: Column, file: Column) -> Column:
+    """Paths that a relative module may stand for, in order: with each ending, then as a folder's index. Null for a module by name."""
+    return F.transform(F.array(module_path(module, file)), lambda base: F.when(base.isNotNull(), F.array(*[F.concat(base, F.lit(e)) for e in ENDINGS])))[0]
 
 
 def module_edges(found: DataFrame, files: DataFrame, file_col: str) -> DataFrame:
     """``src, dst, kind``: imports (of ``imports``) joined with the files they stand for, at the first candidate that is a file; others fall away."""
-    tried = found.select("file", "line_no", "kind", "module", F.posexplode(candidates(F.col("module"), F.col("file"))).alias("place", "path"))
+    based = found.select("file", "line_no", "kind", "module", module_path(F.col("module"), F.col("file")).alias("base")).where("base is not null")
+    tried = based.select("file", "line_no", "kind", "module", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("place", "path"))
     known = tried.join(files.select(F.col(file_col).alias("path")).distinct(), "path")
     best = known.groupBy("file", "line_no", "kind", "module").agg(F.min_by("path", "place").alias("dst"))
     return best.select(F.col("file").alias("src"), "dst", "kind").distinct()

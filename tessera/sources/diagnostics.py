@@ -21,3 +21,13 @@ def lint_issues(output: DataFrame, text_col: str = "value") -> DataFrame:
     """One row per issue of a linter's JSON report; severity 2 is an error, all else a warning."""
     files = output.select(F.explode(F.from_json(text_col, LINT)).alias("f")).select("f.filePath", F.explode("f.messages").alias("m"))
     return files.select(F.col("filePath").alias("file"), "m.line", "m.column", F.when(F.col("m.severity") == 2, "error").otherwise("warning").alias("severity"), F.col("m.ruleId").alias("rule"), "m.message", F.col("m.fix").isNotNull().alias("fixable"))
+
+
+def all_diagnostics(**tools: DataFrame) -> DataFrame:
+    """``tool, file, line, column, severity, code, message`` of several tools' diagnostics; what a tool calls a rule is its code."""
+    out = None
+    for name, rows in tools.items():
+        code = F.col("code") if "code" in rows.columns else F.col("rule")
+        own = rows.select(F.lit(name).alias("tool"), "file", "line", "column", "severity", code.alias("code"), "message")
+        out = own if out is None else out.unionByName(own)
+    return out
