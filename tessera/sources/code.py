@@ -115,13 +115,14 @@ def imports(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
     none, nothing = F.lit(None), F.array().cast("array<string>")
     typed = (at(1) == "type") & (at(2) != "from") & ((at(2) == "{") | (at(3) == "from"))
     first = F.when(typed, 2).otherwise(1)
-    from_at = F.array_position(t, "from").cast("int")
+    lines = lines.withColumns({"_dynamic": called("import"), "_required": called("require"), "_from": F.array_position(t, "from").cast("int")})  # each is read more than once
+    from_at = F.col("_from")
     module = F.get(t, from_at)
     statement = (at(0) == "import") & (from_at > 0) & quoted(module)
     head, then = F.get(t, first), F.get(t, first + 1)
     kinds = (
-        F.when(F.size(called("import")) > 0, F.transform(called("import"), lambda m: row("dynamic", none, nothing, m)))
-        .when(F.size(called("require")) > 0, F.transform(called("require"), lambda m: row("require", none, nothing, m)))
+        F.when(F.size("_dynamic") > 0, F.transform("_dynamic", lambda m: row("dynamic", none, nothing, m)))
+        .when(F.size("_required") > 0, F.transform("_required", lambda m: row("require", none, nothing, m)))
         .when((at(0) == "import") & quoted(at(1)), F.array(row("side_effect", none, nothing, at(1))))
         .when(statement & (head == "*") & (then == "as"), F.array(row("namespace", F.get(t, first + 2), nothing, module)))
         .when(statement & (head == "{"), F.array(row("named", none, _names(t, first), module)))
@@ -144,7 +145,8 @@ def exports(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
     t = F.col("toks")
     e = F.array_position(t, "export").cast("int")  # the place after it
     at = lambda k: F.get(t, e + k)
-    from_at = F.array_position(t, "from").cast("int")
+    lines = lines.withColumns({"_dynamic": called("import"), "_required": called("require"), "_from": F.array_position(t, "from").cast("int")})  # each is read more than once
+    from_at = F.col("_from")
     module = F.when((from_at > 0) & F.get(t, from_at).rlike("^['\"]"), unquoted(F.get(t, from_at)))
     shown = F.transform(_names(t, e), lambda x: F.when(x.contains(" as "), F.element_at(F.split(x, " as "), -1)).otherwise(x))
     row = lambda kind, names, m: F.struct(F.lit(kind).alias("kind"), names.cast("array<string>").alias("names"), m.cast("string").alias("module"))
