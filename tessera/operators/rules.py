@@ -25,17 +25,25 @@ def grouped(rules: DataFrame, strategy: str = "hybrid") -> DataFrame:
     ``pattern``, ``complexity`` and ``context`` (its first words) group by that alone; ``hybrid`` groups by pattern, groups of more than
     three rules by pattern and complexity, and what is then still larger goes rule by rule.
     """
-    n = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy(*keys))
     own = F.concat(F.lit("rule:"), F.col("rule_id").cast("string"))
     if strategy == "hybrid":
-        few, fewer = n("pattern"), n("pattern", "complexity")
-        kind = F.when(few == 1, "individual").when(few <= SMALL, "pattern_group").when(fewer <= SMALL, "mixed_group").otherwise("individual")
+        counted = _counted(_counted(rules, "few", "pattern"), "fewer", "pattern", "complexity")
+        kind = F.when(F.col("few") == 1, "individual").when(F.col("few") <= SMALL, "pattern_group").when(F.col("fewer") <= SMALL, "mixed_group").otherwise("individual")
         name = F.when(F.col("kind") == "pattern_group", F.col("pattern")).when(F.col("kind") == "mixed_group", F.concat_ws("_", "pattern", "complexity")).otherwise(own)
-        return rules.withColumn("kind", kind).withColumn("group", name)
+        return counted.withColumn("kind", kind).withColumn("group", name).drop("few", "fewer")
     key = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("context", r"\s+", " ")), " "), 1, CONTEXT_WORDS), " ") if strategy == "context" else F.col(strategy)
-    keyed = rules.withColumn("group", key)
-    kind = F.when(n("group") == 1, "individual").otherwise(f"{strategy}_group")
-    return keyed.withColumn("kind", kind).withColumn("group", F.when(F.col("kind") == "individual", own).otherwise(F.col("group")))
+    counted = _counted(rules.withColumn("group", key), "few", "group")
+    kind = F.when(F.col("few") == 1, "individual").otherwise(f"{strategy}_group")
+    return counted.withColumn("kind", kind).withColumn("group", F.when(F.col("kind") == "individual", own).otherwise(F.col("group"))).drop("few")
+
+
+def _counted(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``rows`` with the number of rows that have their keys: counts are summed in parts and joined, so a hot key isn't one task's rows."""
+    sizes = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(name))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(sizes, same).drop(*[f"_{k}" for k in keys])
 
 
 def common_prefix(column: str) -> Column:
@@ -129,14 +137,18 @@ def detail_level(task: Column, level: Column, complexity: Column, phase: Column)
     )
 
 
-def example_for(examples: list[Column], visits: Column, experts: Column | None = None) -> Column:
-    """An example by visits so far: the longest first, then ever shorter ones; for experts the shortest first. Blank ones don't count."""
+def example_for(examples: list[Column], visits: Column, experts: Column | None = None, rule: Column | None = None) -> Column:
+    """An example by visits so far: the longest first, then ever shorter ones; for experts the shortest first. Blank ones don't count.
+
+    Without any example it is the text of the ``rule``, or an empty one.
+    """
     kept = F.filter(F.array(*examples), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
     sized = F.transform(kept, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), x.alias("x")))
     falling = F.transform(F.sort_array(F.transform(sized, lambda s: F.struct((-s["n"]).alias("n"), s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
     rising = F.transform(F.sort_array(sized), lambda s: s["x"])
     at = F.least(visits, F.size(kept) - 1).cast("int")
-    return F.get(falling, at) if experts is None else F.when(experts, F.get(rising, at)).otherwise(F.get(falling, at))
+    found = F.get(falling, at) if experts is None else F.when(experts, F.get(rising, at)).otherwise(F.get(falling, at))
+    return F.when(F.size(kept) > 0, found).otherwise(F.lit("") if rule is None else F.coalesce(rule, F.lit("")))
 
 
 def priority_score(rule_type: Column, matches_level: Column, known: Column) -> Column:

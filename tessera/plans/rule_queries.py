@@ -93,15 +93,17 @@ def compression_stats(spark, d):
     return R.compression_stats(rules_of(spark, d), "complexity", "full", "small")
 
 
-@query("""WITH v AS (SELECT event_id, event_type, props, user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS n FROM events), x AS (SELECT event_id, n, user_id, [event_type || props, event_type, 'x'] AS falling, ['x', event_type, event_type || props] AS rising FROM v)
-    SELECT event_id, CASE WHEN user_id % 2 = 0 THEN rising[least(n, 2) + 1] ELSE falling[least(n, 2) + 1] END AS example FROM x""")
+@query("""WITH v AS (SELECT event_id, event_type, props, user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS n FROM events), x AS (SELECT event_id, event_type, n, user_id, [event_type || props, event_type, 'x'] AS falling, ['x', event_type, event_type || props] AS rising FROM v)
+    SELECT event_id, CASE WHEN event_type = 'signup' THEN 'rule ' || event_id WHEN user_id % 2 = 0 THEN rising[least(n, 2) + 1] ELSE falling[least(n, 2) + 1] END AS example FROM x""")
 def visit_examples(spark, d):
-    """Shorter examples with each visit; for experts longer ones."""
+    """Shorter examples with each visit, for experts longer ones; signups have no example, so the rule itself is shown."""
     from tessera.operators.sessions import visits_so_far
 
     seen = visits_so_far(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"])
-    examples = [F.col("event_type"), F.lit("x"), F.concat("event_type", "props"), F.lit(" ")]
-    return seen.select("event_id", R.example_for(examples, F.col("visits"), F.col("user_id") % 2 == 0).alias("example"))
+    given = lambda x: F.when(F.col("event_type") != "signup", x)
+    examples = [given(F.col("event_type")), given(F.lit("x")), given(F.concat("event_type", "props")), F.lit(" ")]
+    rule = F.concat(F.lit("rule "), F.col("event_id").cast("string"))
+    return seen.select("event_id", R.example_for(examples, F.col("visits"), F.col("user_id") % 2 == 0, rule).alias("example"))
 
 
 @query("""SELECT rule_id, score FROM (SELECT p_partkey AS rule_id, p_retailprice * CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08) THEN 0.7 ELSE 1 END::DOUBLE AS score, p_partkey FROM part) WHERE rule_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax > 0.07)""")
