@@ -61,6 +61,17 @@ def recovery_plan(errors: DataFrame, rules: DataFrame, kind: str, value: str) ->
     return hit.select(*[F.col(f"`{c}`") for c in errors.columns], F.coalesce(first["action"], F.lit("escalate")).alias("action"))
 
 
+# The longest message that is shown whole, and what a longer one is cut to.
+MESSAGE, CUT = 500, 497
+
+
+def concise_error(message: Column, workflow: Column, step: Column) -> Column:
+    """A message without the ids of its own workflow and step, which its reader knows, cut where it is very long. Null ids change nothing."""
+    bare = lambda text, word, of: F.coalesce(F.when(of != "", F.replace(text, F.concat(F.lit(f"{word} "), of), F.lit(word))), text)
+    short = bare(bare(message, "workflow", workflow.cast("string")), "step", step.cast("string"))
+    return F.when(F.length(short) > MESSAGE, F.concat(F.substring(short, 1, CUT), F.lit("..."))).otherwise(short)
+
+
 def statuses(events: DataFrame, key: str, order: list[str], started: Column, ended: Column, failed: Column) -> DataFrame:
     """Each workflow's status by its newest event, with its number of events."""
     at = F.struct(*order)

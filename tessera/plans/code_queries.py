@@ -226,3 +226,13 @@ def metric_shapes(spark, d):
     """Metrics named for two outside systems."""
     rows = table(spark, d, "customer")
     return exports.reshaped(rows, "c_custkey", ["c_acctbal", "c_nationkey"], "dotted", "app").unionByName(exports.reshaped(rows, "c_custkey", ["c_acctbal", "c_nationkey"], "pascal", "app"))
+
+
+@query("""WITH f AS (SELECT 'docs/' || p_brand || CASE p_size % 4 WHEN 0 THEN '/Template-' WHEN 1 THEN '/template/n' ELSE '/n' END || p_partkey || CASE WHEN p_size % 3 = 0 THEN '.mdx' ELSE '.md' END AS path FROM part)
+    SELECT path FROM f WHERE path LIKE '%.md' AND NOT contains(lower(string_split(path, '/')[-1]), 'template')""")
+def markdown_paths(spark, d):
+    """Markdown files by path; a template's name leaves a file out, a folder's doesn't."""
+    size = F.col("p_size")
+    folder = F.when(size % 4 == 0, "/Template-").when(size % 4 == 1, "/template/n").otherwise("/n")
+    path = F.concat(F.lit("docs/"), "p_brand", folder, F.col("p_partkey").cast("string"), F.when(size % 3 == 0, ".mdx").otherwise(".md"))
+    return table(spark, d, "part").select(path.alias("path")).where(files.is_markdown(F.col("path")))

@@ -130,3 +130,13 @@ def workspace_projects(spark, d):
     k = F.col("n_nationkey")
     json = F.when(k % 5 == 0, F.format_string('{"name":"p%d"}', k)).otherwise(F.format_string('{"name":"p%d","references":[{"path":"../w%d"}]}', k, k - k % 5))
     return S.workspaces(table(spark, d, "nation").select(F.format_string("w%d/tsconfig.json", k).alias("path"), json.alias("text")), "path", "text")
+
+
+@query("""WITH m AS (SELECT event_id, 'workflow ' || user_id || ' stopped: step ' || event_type || ' of workflow x' || user_id || repeat(' because ' || event_type, (event_id % 90)::BIGINT) AS long FROM events),
+    b AS (SELECT event_id, replace(replace(long, 'workflow ' || user_id, 'workflow'), 'step ' || event_type, 'step') AS t FROM m JOIN events USING (event_id))
+    SELECT event_id, CASE WHEN length(t) > 500 THEN t[1:497] || '...' ELSE t END AS message FROM b""")
+def concise_errors(spark, d):
+    """Messages of errors in short: ids that are known go, long texts are cut."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    text = F.concat(F.lit("workflow "), user, F.lit(" stopped: step "), kind, F.lit(" of workflow x"), user, F.repeat(F.concat(F.lit(" because "), kind), (F.col("event_id") % 90).cast("int")))
+    return table(spark, d, "events").select("event_id", L.concise_error(text, F.col("user_id"), kind).alias("message"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,4 +43,13 @@ def write_text(lines: DataFrame, folder: str) -> None:
     lines.select("line").write.text(folder)
 
 
-__all__ = ["BUCKETS", "csv_lines", "histogram_lines", "json_lines", "reshaped", "write_text"]
+def write_timestamped(lines: DataFrame, root: str, kind: str = "json", prefix: str = "workflow_metrics", at: datetime | None = None) -> str:
+    """Writes ``line`` under a name that tells the time of the export, ``<prefix>_<yyyymmdd>_<hhmmss>.<kind>``; returns the path."""
+    if kind not in ("json", "csv", "prometheus"):
+        raise ValueError(f"no such format: {kind}")
+    path = f"{root.rstrip('/')}/{prefix}_{(at or datetime.now()):%Y%m%d_%H%M%S}.{kind}"
+    write_text(lines, path)
+    return path
+
+
+__all__ = ["BUCKETS", "csv_lines", "histogram_lines", "json_lines", "reshaped", "write_text", "write_timestamped"]

@@ -66,6 +66,17 @@ def scan(spark: SparkSession, root: str, patterns: str | list[str]) -> DataFrame
     return found.where(matches(F.col("path"), patterns) & ~excluded(F.col("path")))
 
 
+def is_markdown(path: Column) -> Column:
+    """Whether a path is a Markdown file's and its name doesn't tell a template."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    return path.endswith(".md") & ~name.contains("template")
+
+
+def markdown_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, modified, length`` of the Markdown files under a root at any depth, but for templates; no content is read."""
+    return scan(spark, root, "*.md").where(is_markdown(F.col("path"))).select("path", "modified", "length")
+
+
 def texts(files: DataFrame, encodings: tuple[str, ...] = ("UTF-8", "UTF-16", "ISO-8859-1")) -> DataFrame:
     """``path, text, encoding, chars``: decoded by a mark at the beginning, then UTF-8, then the encodings in turn that decode without loss.
 

@@ -63,3 +63,18 @@ def test_broken_lines_of_tools(spark):
 
     got = tsc_diagnostics(spark.createDataFrame([("  src/a.ts(3,7):  error TS1:  m  \n",)], "value string")).collect()
     assert [(r.file, r.line, r.message) for r in got] == [("src/a.ts", 3, "m")]
+
+
+def test_markdown_scan_and_timestamped_export(spark, tmp_path):
+    from datetime import datetime
+
+    for name in ("a.md", "sub/b.md", "sub/My-Template.md", "template/c.md", "d.txt"):
+        (tmp_path / "docs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "docs" / name).write_text("12345")
+    found = files.markdown_files(spark, str(tmp_path / "docs")).collect()
+    assert sorted((r.path, r.length) for r in found) == [("a.md", 5), ("sub/b.md", 5), ("template/c.md", 5)] and all(r.modified for r in found)
+    lines = spark.createDataFrame([("x",)], "line string")
+    path = exports.write_timestamped(lines, str(tmp_path), at=datetime(2024, 5, 6, 7, 8, 9))
+    assert path == f"{tmp_path}/workflow_metrics_20240506_070809.json" and [r.value for r in spark.read.text(path).collect()] == ["x"]
+    with pytest.raises(ValueError, match="format"):
+        exports.write_timestamped(lines, str(tmp_path), kind="xml")
