@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -30,6 +31,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(rows: DataFrame, key: str, per_task: int = 4_000) -> DataFrame:
+    """``rows`` dealt by ``key`` to as many tasks as their number asks for.
+
+    For rows whose table is too small for Spark to split and that grow when they're worked on (a text's lines and tokens).
+    """
+    return rows.repartition(max(1, math.ceil(rows.count() / per_task)), key)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with marks added until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.templates import render
 from tessera.operators import graph, paths, state, validation
+from tessera.operators.tables import spread
 from tessera.plans.code_queries import _P, code_files
 from tessera.plans.registry import _hierarchy, _transitions, query, table
 from tessera.plans.workflow_queries import _PATHS
@@ -83,7 +84,7 @@ BODY = (
 
 def branching(spark, d):
     text = F.replace(F.lit("\n".join(BODY)), F.lit("{k}"), F.col("p_partkey").cast("string"))
-    return table(spark, d, "part").select(F.concat(F.lit("f"), "p_partkey").alias("path"), text.alias("text"))
+    return spread(table(spark, d, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("f"), "p_partkey").alias("path"), text.alias("text"))
 
 
 @query("""WITH p AS (SELECT 'f' || p_partkey AS file, p_partkey::VARCHAR AS k FROM part) SELECT file, 'function' AS kind, 'outer' || k AS name, 1 AS line, 0 AS depth, 'if,help' || k || ',log,other,switch,one,two,rest,risky,help' || k || ',catch,log' AS calls FROM p

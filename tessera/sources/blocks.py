@@ -66,9 +66,9 @@ def branch_weights(found: DataFrame) -> DataFrame:
 
 def first_conditions(steps: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
     """Each step (``keys``, ``callee``) with the first branch of its file that calls it (``line``, ``condition``), null where none does."""
-    inside = branches.select("file", "line", F.col("name").alias("condition"), F.explode(F.array_distinct(called_names(F.col("body")))).alias("callee"))
+    inside = branches.select("file", "line", F.col("name").alias("condition"), F.explode_outer(F.array_distinct(called_names(F.col("body")))).alias("callee")).where("callee is not null")
     first = inside.groupBy("file", "callee").agg(F.min(F.struct("line", "condition")).alias("b"))
-    return steps.join(first, ["file", "callee"], "left").select(*keys, "callee", "b.line", "b.condition")
+    return steps.join(first.hint("merge"), ["file", "callee"], "left").select(*keys, "callee", "b.line", "b.condition")
 
 
 def parameters(signature: Column) -> Column:
