@@ -6,6 +6,7 @@ and parts of names don't count. One line is one unit, as in the reports these op
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,18 @@ def tokens(line: Column) -> Column:
 
 def numbered_lines(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
     """``file, line_no`` (from 1) and ``line``."""
-    lines = files.select(F.col(file_col).alias("file"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
-    return lines.select("file", (F.col("at") + 1).alias("line_no"), "line")
+    # the outer form, as Spark makes a filter of the other one's argument and cuts each text twice
+    lines = files.select(F.col(file_col).alias("file"), F.posexplode_outer(F.split(text_col, "\n")).alias("at", "line"))
+    return lines.where("line is not null").select("file", (F.col("at") + 1).alias("line_no"), "line")
+
+
+def with_value(rows: DataFrame, name: str, value: Column, make: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` where ``make`` of a costly value isn't null, with it as ``name``; the value and what is made of it are computed once for each row.
+
+    A column of its own would be copied into each place that reads it, filters above it included.
+    """
+    made = F.transform(F.array(value), make)
+    return rows.withColumn(name, F.explode_outer(made)).where(F.col(name).isNotNull())
 
 
 def meaningful(lines: DataFrame) -> DataFrame:
@@ -105,7 +116,8 @@ def imports(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
 
     Kinds: ``named``, ``default``, ``namespace``, ``dynamic``, ``require`` and ``side_effect``.
     """
-    lines = meaningful(numbered_lines(files, file_col, text_col)).where(F.col("line").contains("import") | F.col("line").contains("require")).withColumn("toks", tokens(F.col("line")))
+    lines = meaningful(numbered_lines(files, file_col, text_col)).where(F.col("line").contains("import") | F.col("line").contains("require"))
+    lines = with_value(lines, "toks", tokens(F.col("line")), lambda x: x)
     t = F.col("toks")
     at = lambda k: F.get(t, F.lit(k))
     quoted = lambda x: F.coalesce(x.rlike("^['\"]"), F.lit(False))
@@ -115,21 +127,22 @@ def imports(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
     none, nothing = F.lit(None), F.array().cast("array<string>")
     typed = (at(1) == "type") & (at(2) != "from") & ((at(2) == "{") | (at(3) == "from"))
     first = F.when(typed, 2).otherwise(1)
-    lines = lines.withColumns({"_dynamic": called("import"), "_required": called("require"), "_from": F.array_position(t, "from").cast("int")})  # each is read more than once
-    from_at = F.col("_from")
+    # each is read more than once
+    lines = with_value(lines, "_once", F.struct(called("import").alias("dynamic"), called("require").alias("required"), F.array_position(t, "from").cast("int").alias("from")), lambda x: x)
+    dynamic, required, from_at = (F.col(f"_once.{c}") for c in ("dynamic", "required", "from"))
     module = F.get(t, from_at)
     statement = (at(0) == "import") & (from_at > 0) & quoted(module)
     head, then = F.get(t, first), F.get(t, first + 1)
     kinds = (
-        F.when(F.size("_dynamic") > 0, F.transform("_dynamic", lambda m: row("dynamic", none, nothing, m)))
-        .when(F.size("_required") > 0, F.transform("_required", lambda m: row("require", none, nothing, m)))
+        F.when(F.size(dynamic) > 0, F.transform(dynamic, lambda m: row("dynamic", none, nothing, m)))
+        .when(F.size(required) > 0, F.transform(required, lambda m: row("require", none, nothing, m)))
         .when((at(0) == "import") & quoted(at(1)), F.array(row("side_effect", none, nothing, at(1))))
         .when(statement & (head == "*") & (then == "as"), F.array(row("namespace", F.get(t, first + 2), nothing, module)))
         .when(statement & (head == "{"), F.array(row("named", none, _names(t, first), module)))
         .when(statement & is_name(head) & (then == ",") & (F.get(t, first + 2) == "{"), F.array(row("default", head, nothing, module), row("named", none, _names(t, first + 2), module)))
         .when(statement & is_name(head) & (then == "from"), F.array(row("default", head, nothing, module)))
     )
-    found = lines.select("file", "line_no", F.coalesce(typed, F.lit(False)).alias("type_only"), F.array_contains(t, "await").alias("is_async"), F.explode(kinds).alias("i"))
+    found = lines.select("file", "line_no", F.coalesce(typed, F.lit(False)).alias("type_only"), F.array_contains(t, "await").alias("is_async"), F.explode_outer(kinds).alias("i")).where("i is not null")
     external = ~(F.col("i.module").startswith(".") | F.col("i.module").startswith("/"))
     return found.select("file", "line_no", "i.*", "type_only", (F.col("is_async") & (F.col("i.kind") == "dynamic")).alias("is_async"), external.alias("external"))
 
@@ -141,7 +154,8 @@ def without_imports(text: Column) -> Column:
 
 def exports(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
     """``file, line_no, kind, names, module``: ``named``, ``default`` and ``re_export`` (all or by name, with ``as`` the new name)."""
-    lines = meaningful(numbered_lines(files, file_col, text_col)).withColumn("toks", tokens(F.col("line"))).where(F.array_contains("toks", "export"))
+    lines = meaningful(numbered_lines(files, file_col, text_col)).where(F.col("line").contains("export"))
+    lines = with_value(lines, "toks", tokens(F.col("line")), lambda x: x).where(F.array_contains("toks", "export"))
     t = F.col("toks")
     e = F.array_position(t, "export").cast("int")  # the place after it
     at = lambda k: F.get(t, e + k)
@@ -227,11 +241,14 @@ def candidates(module: Column, file: Column) -> Column:
 
 def module_edges(found: DataFrame, files: DataFrame, file_col: str) -> DataFrame:
     """``src, dst, kind``: imports (of ``imports``) joined with the files they stand for, at the first candidate that is a file; others fall away."""
-    based = found.select("file", "line_no", "kind", "module", module_path(F.col("module"), F.col("file")).alias("base")).where("base is not null")
-    tried = based.select("file", "line_no", "kind", "module", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("place", "path"))
-    known = tried.join(files.select(F.col(file_col).alias("path")).distinct(), "path")
-    best = known.groupBy("file", "line_no", "kind", "module").agg(F.min_by("path", "place").alias("dst"))
-    return best.select(F.col("file").alias("src"), "dst", "kind").distinct()
+    based = with_value(found.select("file", "kind", "module"), "base", module_path(F.col("module"), F.col("file")), lambda x: x)
+    # a file stands for its path rid of each ending that it has; so no import is copied for candidates that aren't files
+    path = F.col("path")
+    stands = F.array(*[F.when(path.endswith(e), F.struct(F.lit(i).alias("place"), F.substring(path, F.lit(1), F.length(path) - len(e)).alias("base"))) for i, e in enumerate(ENDINGS)])
+    known = files.select(F.col(file_col).alias("path")).select("path", F.explode(stands).alias("s")).where("s is not null").select("path", "s.*")
+    first = known.groupBy("base").agg(F.min_by("path", "place").alias("dst"))
+    # both sides grow with the texts, more than Spark's estimate tells: neither may be broadcast
+    return based.join(first.hint("merge"), "base").select(F.col("file").alias("src"), "dst", "kind").distinct()
 
 
 def condition_complexity(condition: Column) -> Column:
