@@ -15,7 +15,7 @@ def simple_paths(edges: DataFrame, depth: int, from_smallest: bool = False) -> D
     front = step.select(F.array("_from", "_to").alias("path"), "_to").where(grows).select("path")
     found = front
     for _ in range(depth - 1):
-        onward = front.join(step, F.element_at("path", -1) == F.col("_from")).where(grows & ~F.array_contains("path", F.col("_to")))
+        onward = front.join(step.hint("merge"), F.element_at("path", -1) == F.col("_from")).where(grows & ~F.array_contains("path", F.col("_to")))
         front = settled(onward.select(F.array_append("path", F.col("_to")).alias("path")))
         if not front.take(1):
             break
@@ -25,10 +25,10 @@ def simple_paths(edges: DataFrame, depth: int, from_smallest: bool = False) -> D
 
 def cycles(edges: DataFrame, depth: int) -> DataFrame:
     """``cycle, length, severity``: each cycle of at most ``depth`` nodes once, from its smallest node; two nodes are a warning."""
-    step = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct()
+    step = settled(edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct())
     loops = step.where("_from = _to").select(F.array("_from").alias("path"))
-    open_paths = simple_paths(edges, depth - 1, from_smallest=True)
-    closed = open_paths.join(step, (F.element_at("path", -1) == F.col("_from")) & (F.col("path")[0] == F.col("_to")), "left_semi")
+    open_paths = simple_paths(step.select(F.col("_from").alias("src"), F.col("_to").alias("dst")), depth - 1, from_smallest=True)
+    closed = open_paths.join(step.hint("merge"), (F.element_at("path", -1) == F.col("_from")) & (F.col("path")[0] == F.col("_to")), "left_semi")
     return loops.unionByName(closed).select(
         F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("length"), F.when(F.size("path") == 2, "warning").otherwise("error").alias("severity")
     )
