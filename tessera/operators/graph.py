@@ -12,17 +12,17 @@ def closure(edges: DataFrame, depth: int | None = None, sources: DataFrame | Non
     """``src, dst, hops``: pairs within ``depth`` hops (all, without a depth), at their smallest number of hops.
 
     Only pairs found in the last step are joined on, and each step is settled; it ends when a step finds nothing new. ``sources``
-    (one column) limits where ways begin.
+    (one column) limits where ways begin. Joins are by sorting: a settled table keeps the size that Spark guessed before it was made.
     """
     step = settled(edges.select("src", "dst").distinct())
     on = step.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-    front = step if sources is None else step.join(sources.toDF("src"), "src", "left_semi")
+    front = step if sources is None else step.join(sources.toDF("src").hint("merge"), "src", "left_semi")
     reached = front = settled(front.withColumn("hops", F.lit(1)))
     hops = 1
     while (depth is None or hops < depth) and front.take(1):
         hops += 1
-        onward = front.join(on, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst")).distinct()
-        front = settled(onward.join(reached.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
+        onward = front.join(on.hint("merge"), F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst")).distinct()
+        front = settled(onward.join(reached.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
         reached = reached.unionByName(front)
     return reached
 
