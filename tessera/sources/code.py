@@ -183,30 +183,33 @@ def hierarchy(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
 
 def definitions(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
     """``file, name, line_no`` of functions: ``function f``, ``const f = (…) =>`` and methods ``f(…) {``; of one name in a file the last counts."""
-    lines = meaningful(numbered_lines(files, file_col, text_col)).withColumn("toks", tokens(F.col("line")))
-    t = F.col("toks")
-    spoken = F.when(F.array_contains(t, "function"), F.get(t, F.array_position(t, "function").cast("int")))
-    bound = F.when(F.get(t, F.lit(0)).isin("const", "let", "var", "export") & F.array_contains(t, "=>"), F.get(t, F.array_position(t, "=").cast("int") - 2))
-    first = F.when(F.get(t, F.lit(0)).isin("async", "public", "private", "protected", "static"), 1).otherwise(0)
-    method = F.when((F.get(t, first + 1) == "(") & _next_but(_after(t, first + 1), ")").isin("{", ":") & F.element_at(t, -1).isin("{", "}"), F.get(t, first))
-    name = F.coalesce(spoken, bound, method)
-    found = lines.select("file", "line_no", name.alias("name")).where(F.col("name").rlike(r"^[A-Za-z_$]") & ~F.col("name").isin(*NOT_CALLS))
+    line = F.col("line")
+    lines = meaningful(numbered_lines(files, file_col, text_col)).where(line.contains("(") | line.contains("=>") | line.contains("function"))
+
+    def name(t: Column) -> Column:
+        spoken = F.when(F.array_contains(t, "function"), F.get(t, F.array_position(t, "function").cast("int")))
+        bound = F.when(F.get(t, F.lit(0)).isin("const", "let", "var", "export") & F.array_contains(t, "=>"), F.get(t, F.array_position(t, "=").cast("int") - 2))
+        first = F.when(F.get(t, F.lit(0)).isin("async", "public", "private", "protected", "static"), 1).otherwise(0)
+        method = F.when((F.get(t, first + 1) == "(") & F.element_at(t, -1).isin("{", "}") & _next_but(_after(t, first + 1), ")").isin("{", ":"), F.get(t, first))
+        return F.coalesce(spoken, bound, method)
+
+    found = with_value(lines, "name", tokens(line), name).where(F.col("name").rlike(r"^[A-Za-z_$]") & ~F.col("name").isin(*NOT_CALLS))
     return found.groupBy("file", "name").agg(F.max("line_no").alias("line_no"))
 
 
 def calls(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
     """``file, line_no, name, kind`` of each call: ``direct``, ``this``, ``object`` or ``new``; keywords and definitions aren't calls."""
-    lines = meaningful(numbered_lines(files, file_col, text_col)).where(F.col("line").contains("(")).withColumn("toks", tokens(F.col("line")))
-    t = F.col("toks")
+    lines = meaningful(numbered_lines(files, file_col, text_col)).where(F.col("line").contains("("))
 
-    def call(x: Column, i: Column) -> Column:
+    def call(t: Column, x: Column, i: Column) -> Column:
         before = F.get(t, i - 1)
         kind = F.when(before == "new", "new").when((before == ".") & (F.get(t, i - 2) == "this"), "this").when(before == ".", "object").otherwise("direct")
-        names = x.rlike(r"^[A-Za-z_$]") & ~x.isin(*NOT_CALLS) & (F.get(t, i + 1) == "(") & F.coalesce(before != "function", F.lit(True))
-        defined = (kind == "direct") & _next_but(_after(t, i), ")").isin("{") & (i <= 1)
+        names = (F.get(t, i + 1) == "(") & x.rlike(r"^[A-Za-z_$]") & ~x.isin(*NOT_CALLS) & F.coalesce(before != "function", F.lit(True))
+        defined = (i <= 1) & (kind == "direct") & _next_but(_after(t, i), ")").isin("{")
         return F.when(names & ~F.coalesce(defined, F.lit(False)), F.struct(x.alias("name"), kind.alias("kind")))
 
-    return lines.select("file", "line_no", F.explode(F.filter(F.transform(t, call), lambda c: c.isNotNull())).alias("c")).select("file", "line_no", "c.*")
+    found = with_value(lines, "found", tokens(F.col("line")), lambda t: F.filter(F.transform(t, lambda x, i: call(t, x, i)), lambda c: c.isNotNull()))
+    return found.select("file", "line_no", F.explode("found").alias("c")).select("file", "line_no", "c.*")
 
 
 def call_edges(files: DataFrame, file_col: str, text_col: str, most: int = 50) -> DataFrame:
