@@ -84,9 +84,9 @@ def _kind(toks: Column, line: Column, i: Column) -> Column:
 
 def references(files: DataFrame, file_col: str, text_col: str, symbol: str) -> DataFrame:
     """``file, line_no, kind, reported, confidence`` of each line that refers to the symbol, by the strongest kind on it."""
-    lines = numbered_lines(files, file_col, text_col).where(F.col("line").contains(symbol)).withColumn("toks", tokens(F.col("line")))
-    places = F.filter(F.transform("toks", lambda t, i: F.when(t == symbol, i)), lambda i: i.isNotNull())
-    kinds = lines.where(F.array_contains("toks", symbol)).select("file", "line_no", F.transform(places, lambda i: _kind(F.col("toks"), F.col("line"), i)).alias("kinds"))
+    lines = numbered_lines(files.where(F.col(text_col).contains(symbol)), file_col, text_col).where(F.col("line").contains(symbol))
+    places = lambda t: F.filter(F.transform(t, lambda x, i: F.when(x == symbol, i)), lambda i: i.isNotNull())
+    kinds = with_value(lines, "kinds", tokens(F.col("line")), lambda t: F.array_distinct(F.transform(places(t), lambda i: _kind(t, F.col("line"), i))))
     order = list(CONFIDENCE)[:5] + ["definition", "usage"]  # a definition isn't a usage
     kind = F.coalesce(*[F.when(F.array_contains("kinds", k), k) for k in order])
     say = lambda what: F.create_map(*[F.lit(x) for pair in what.items() for x in pair])[F.col("kind")]
