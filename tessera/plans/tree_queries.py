@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import spread
 from tessera.plans.registry import query, table
 from tessera.sources import trees
 
@@ -14,12 +15,12 @@ ARROW = "const r{k} = (q) => { q.z(1); };\n"
 
 def nested_files(spark, d):
     """``path, text``: parts of even keys begin with their class."""
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part").select(F.concat(F.lit("src/t"), "p_partkey", F.lit(".ts")).alias("path"), "p_partkey", "p_size"), "path")
     loops = F.col("p_size") % 4
     free = F.replace(F.replace(F.lit(FREE), F.lit("{open}"), F.repeat(F.lit("  for (const x of a) {\n"), loops)), F.lit("{close}"), F.repeat(F.lit("  }\n"), loops))
     text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(CLASS), free, F.lit(ARROW))).otherwise(F.concat(free, F.lit(ARROW), F.lit(CLASS)))
     named = F.replace(F.replace(text, F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{near}"), (F.col("p_partkey") % 10).cast("string"))
-    return part.select(F.concat(F.lit("src/t"), "p_partkey", F.lit(".ts")).alias("path"), named.alias("text"))
+    return part.select("path", named.alias("text"))
 
 
 _T = "SELECT 'src/t' || p_partkey || '.ts' AS path, p_partkey AS k, p_partkey % 10 AS near, p_size % 4 AS loops, p_partkey % 2 = 0 AS class_first FROM part"
@@ -47,5 +48,4 @@ def calls_right_in_functions(spark, d):
 def after_classes(spark, d):
     """What follows each class in its file: here the parameters of a function, or nothing."""
     nodes = trees.following(trees.syntax_nodes(nested_files(spark, d), "path", "text"))
-    then = nodes.select("path", F.col("start").alias("next"), F.col("kind").alias("next_kind"))
-    return nodes.where("kind = 'class'").join(then, ["path", "next"], "left").select("path", "name", "next_kind")
+    return nodes.where("kind = 'class'").select("path", "name", "next_kind")
