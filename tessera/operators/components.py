@@ -3,6 +3,7 @@
 Components come from reach in both directions: every node takes the least label among the nodes that reach it and among those it reaches. A
 node whose two labels are one and the same node lies on a cycle with it; an edge between nodes with unlike labels is in no cycle and goes. Labels are
 in a random order, so the parts that are left shrink quickly. Work is joins in checkpointed rounds, and only nodes whose label has changed pass it on.
+Joins are by sorting: a settled table keeps the size that Spark guessed before it was made, which may be far too small.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
     """``edges`` without those at nodes that nothing leads to or from; each round takes one layer."""
     for _ in range(rounds):
         begun, ended = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges = settled(edges.join(begun, "src", "left_semi").join(ended, "dst", "left_semi").select("src", "dst"))
+        edges = settled(edges.join(begun.hint("merge"), "src", "left_semi").join(ended.hint("merge"), "dst", "left_semi").select("src", "dst"))
     return edges
 
 
@@ -28,9 +29,9 @@ def _least_labels(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     labels = front = settled(nodes.select("node", own.alias("label"), F.explode(F.array(F.lit(True), F.lit(False))).alias("up")))
     while front.take(1):
-        sent = front.join(both.withColumnRenamed("up", "way"), (F.col("node") == F.col("from")) & (F.col("up") == F.col("way")))
+        sent = front.join(both.withColumnRenamed("up", "way").hint("merge"), (F.col("node") == F.col("from")) & (F.col("up") == F.col("way")))
         offered = sent.groupBy(F.col("to").alias("node"), "up").agg(F.min("label").alias("offer"))
-        after = settled(labels.join(offered, ["node", "up"], "left").select("node", "up", F.least("label", "offer").alias("label"), (F.coalesce(F.col("offer") < F.col("label"), F.lit(False))).alias("new")))
+        after = settled(labels.join(offered.hint("merge"), ["node", "up"], "left").select("node", "up", F.least("label", "offer").alias("label"), (F.coalesce(F.col("offer") < F.col("label"), F.lit(False))).alias("new")))
         labels, front = after.drop("new"), after.where("new").drop("new")
     return labels.groupBy("node").agg(F.max(F.when(F.col("up"), F.col("label"))).alias("behind"), F.max(F.when(~F.col("up"), F.col("label"))).alias("ahead"))
 
@@ -50,14 +51,14 @@ def strong_components(edges: DataFrame, trims: int = 2) -> DataFrame:
         found = done if found is None else found.unionByName(done)
         open_ = labels.where(F.col("ahead") != F.col("behind"))
         ends = [open_.select(F.col("node").alias(c), F.struct("ahead", "behind").alias(f"{c}_labels")) for c in ("src", "dst")]
-        left = _trimmed(settled(left.join(ends[0], "src").join(ends[1], "dst").where("src_labels = dst_labels").select("src", "dst")), 1)
+        left = _trimmed(settled(left.join(ends[0].hint("merge"), "src").join(ends[1].hint("merge"), "dst").where("src_labels = dst_labels").select("src", "dst")), 1)
     nodes = whole.select(F.col("src").alias("node")).union(whole.select("dst")).distinct()
     if found is None:
         return nodes.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("nodes"))
     found = settled(found)
     named = found.groupBy("pivot").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("nodes"))
-    members = found.join(named, "pivot").select("node", "component", "nodes")
-    return nodes.join(members, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("nodes", F.lit(1).cast("long")).alias("nodes"))
+    members = found.join(named.hint("merge"), "pivot").select("node", "component", "nodes")
+    return nodes.join(members.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("nodes", F.lit(1).cast("long")).alias("nodes"))
 
 
 def witness_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def witness_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     """
     e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     of = components.select(F.col("node").alias("src"), "component", "nodes")
-    inner = settled(e.join(of, "src").join(components.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other").select("component", "nodes", "src", "dst"))
+    inner = settled(e.join(of.hint("merge"), "src").join(components.select(F.col("node").alias("dst"), F.col("component").alias("other")).hint("merge"), "dst").where("component = other").select("component", "nodes", "src", "dst"))
     front = inner.where("src = component").select("component", "nodes", F.array("src").alias("cycle"), F.col("dst").alias("at"))
     seen, found = None, None
     while True:
@@ -77,13 +78,13 @@ def witness_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
         found = settled(closed if found is None else found.unionByName(closed))
         here = front.where("at <> component").select("component", F.col("at").alias("node"))
         seen = here if seen is None else seen.unionByName(here)
-        onward = front.join(found.select("component"), "component", "left_anti")
+        onward = front.join(found.select("component").hint("merge"), "component", "left_anti")
         if not onward.take(1):
             break
-        step = onward.join(inner.drop("nodes"), (onward["at"] == inner["src"]) & (onward["component"] == inner["component"]))
+        step = onward.join(inner.drop("nodes").hint("merge"), (onward["at"] == inner["src"]) & (onward["component"] == inner["component"]))
         ways = step.groupBy(onward["component"], "nodes", F.col("dst").alias("next")).agg(F.min(F.array_append("cycle", F.col("at"))).alias("cycle"))
         known = seen.withColumnRenamed("node", "next")
-        front = ways.join(known, ["component", "next"], "left_anti").select("component", "nodes", "cycle", F.col("next").alias("at"))
+        front = ways.join(known.hint("merge"), ["component", "next"], "left_anti").select("component", "nodes", "cycle", F.col("next").alias("at"))
     severity = F.when(F.col("nodes") <= 2, "warning").otherwise("error")
     return found.select("component", "nodes", "cycle", F.size("cycle").cast("long").alias("length"), severity.alias("severity"))
 
