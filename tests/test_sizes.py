@@ -73,3 +73,7 @@ def test_tokens_are_computed_once(spark, make, times):
 def test_references_compute_tokens_once(spark):
     files = spark.range(3).select(F.concat(F.lit("f"), "id").alias("path"), F.concat(F.lit("class A extends B { run() { } }"), "id").alias("text"))
     assert optimized(code.references(files, "path", "text", "run")).count("regexp_extract_all(") == 1
+
+
+def test_updated_edges_broadcast_no_table_of_files(spark, parts):
+    assert "Broadcast" not in plan(QUERIES["incremental_edges"](spark, parts))
