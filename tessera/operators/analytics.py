@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.metrics import r6
+from tessera.operators.metrics import exact_sum, r6
 
 #: Ranks of severities, lowest first.
 SEVERITIES = ("low", "medium", "high", "critical")
@@ -112,9 +112,12 @@ def bottleneck_report(rows: DataFrame, keep: list[str], ladders: dict[str, tuple
 
 
 def compared_modes(rows: DataFrame, key: str, mode: str, one: str, other: str, duration: str, memory: str) -> DataFrame:
-    """Two modes of each key (total duration, peak memory): speed-up, time saved, overhead and what to choose."""
-    of = lambda m, f, c: f(F.when(F.col(mode) == m, F.col(c)))
-    wide = rows.groupBy(key).agg(of(one, F.sum, duration).alias("d1"), of(other, F.sum, duration).alias("d2"), of(one, F.max, memory).alias("m1"), of(other, F.max, memory).alias("m2")).where("d1 is not null and d2 is not null")
+    """Two modes of each key (total duration, peak memory): speed-up, time saved, overhead and what to choose.
+
+    Totals are exact sums, as a last place that hangs on the order of rows turns the choice where totals are equal, and rounding at a half.
+    """
+    of = lambda m, f, c: f(F.when(F.col(mode) == m, F.col(c).cast("double")))
+    wide = rows.groupBy(key).agg(of(one, exact_sum, duration).alias("d1"), of(other, exact_sum, duration).alias("d2"), of(one, F.max, memory).alias("m1"), of(other, F.max, memory).alias("m2")).where("d1 is not null and d2 is not null")
     speed = F.when(F.col("d1") > 0, F.col("d2") / F.col("d1")).otherwise(0.0)
     overhead = F.when(F.col("m2") > 0, F.col("m1") / F.col("m2")).otherwise(0.0)
     choice = F.when((speed > 1.2) & (overhead < 3), one).when(overhead > 5, other).otherwise(F.when(speed > 1, one).otherwise(other))

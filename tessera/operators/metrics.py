@@ -15,6 +15,13 @@ def r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def exact_sum(amount: Column) -> Column:
+    """The sum of doubles in whatever order: by decimals where all values are below 1e18 with ten decimals at most, else by doubles."""
+    told = amount.try_cast("decimal(28,10)")
+    exact = F.bool_and(amount.isNull() | F.coalesce(told.cast("double") == amount, F.lit(False)))
+    return F.when(exact, F.sum(told).cast("double")).otherwise(F.sum(amount))
+
+
 def rollup_by(events: DataFrame, unit: str, time_col: str, value_col: str, failed: Column) -> DataFrame:
     """Count, successes, failures and sum, largest and smallest value per ``unit`` of time."""
     return events.groupBy(F.date_trunc(unit, time_col).alias("bucket")).agg(

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import components, graph, paths
+from tessera.operators import analytics, components, graph, paths
 from tessera.plans.registry import ORACLES, QUERIES
 from tessera.sources import code, trees
 
@@ -77,3 +77,11 @@ def test_references_compute_tokens_once(spark):
 
 def test_updated_edges_broadcast_no_table_of_files(spark, parts):
     assert "Broadcast" not in plan(QUERIES["incremental_edges"](spark, parts))
+
+
+def test_totals_of_modes_are_exact(spark):
+    # 0.1 + 0.2 + 0.3 is above 0.6 in doubles, and 6.41 / 6.4 = 1.0015625 is rounded up
+    rows = [("a", "click", 0.6), *[("a", "view", v) for v in (0.1, 0.2, 0.3)], ("b", "click", 6.4), *[("b", "view", v) for v in (5.81, 0.3, 0.2, 0.1)], ("c", "click", 1e300), ("c", "view", 1e300), ("d", "click", 1e-15), ("d", "view", 2e-15)]
+    events = spark.createDataFrame(rows, "user string, kind string, value double").coalesce(1)
+    got = {r.user: (r.speedup, r.recommended) for r in analytics.compared_modes(events, "user", "kind", "click", "view", "value", "value").collect()}
+    assert got == {"a": (1.0, "view"), "b": (1.001563, "click"), "c": (1.0, "view"), "d": (2.0, "click")}
