@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import settled
 from tessera.sources import blocks, code
 
 
@@ -16,12 +17,15 @@ def symbols(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
 
 def symbol_uses(files: DataFrame, file_col: str, text_col: str) -> DataFrame:
     """Symbols with ``uses``: names equal to theirs in all files, their definitions left out (the semantic pass)."""
-    found = symbols(files, file_col, text_col)
-    names = code.meaningful(code.numbered_lines(files, file_col, text_col)).select(F.explode(F.filter(code.tokens(F.col("line")), lambda t: t.rlike(r"^[A-Za-z_$]"))).alias("used"))
-    counts = names.groupBy("used").agg(F.count(F.lit(1)).alias("seen"))
+    # read twice, and dear to find
+    found = settled(symbols(files, file_col, text_col))
+    lines = code.meaningful(code.numbered_lines(files, file_col, text_col))
+    names = code.with_value(lines, "names", code.tokens(F.col("line")), lambda toks: F.filter(toks, lambda t: t.rlike(r"^[A-Za-z_$]")))
+    counts = names.select(F.explode("names").alias("used")).groupBy("used").agg(F.count(F.lit(1)).alias("seen"))
     defined = found.groupBy(F.col("name").alias("own")).agg(F.count(F.lit(1)).alias("defs"))
-    joined = found.join(counts, F.col("name") == F.col("used"), "left").join(defined, F.col("name") == F.col("own"))
-    return joined.select("file", "name", "kind", "line_no", (F.coalesce("seen", F.lit(0)) - F.col("defs")).cast("long").alias("uses"))
+    # a row a name on this side, which grows with the texts
+    uses = defined.join(counts.hint("merge"), F.col("own") == F.col("used"), "left").select("own", (F.coalesce("seen", F.lit(0)) - F.col("defs")).cast("long").alias("uses"))
+    return found.join(uses.hint("merge"), F.col("name") == F.col("own")).select("file", "name", "kind", "line_no", "uses")
 
 
 def lookup(found: DataFrame, file: str | None = None, name: str | None = None, kind: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import analytics, components, graph, paths
 from tessera.plans.registry import ORACLES, QUERIES
-from tessera.sources import code, trees
+from tessera.sources import code, symbols, trees
 
 
 def plan(df):
@@ -85,3 +85,10 @@ def test_totals_of_modes_are_exact(spark):
     events = spark.createDataFrame(rows, "user string, kind string, value double").coalesce(1)
     got = {r.user: (r.speedup, r.recommended) for r in analytics.compared_modes(events, "user", "kind", "click", "view", "value", "value").collect()}
     assert got == {"a": (1.0, "view"), "b": (1.001563, "click"), "c": (1.0, "view"), "d": (2.0, "click")}
+
+
+def test_symbol_uses_cut_lines_once(spark):
+    files = spark.range(3).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("class A {}\nfunction g() { new A(); g(); }\n// g A").alias("text"))
+    uses = symbols.symbol_uses(files, "path", "text")
+    assert optimized(uses).count("regexp_extract_all(") == 1
+    assert sorted({(r.name, r.kind, r.line_no, r.uses) for r in uses.collect()}) == [("A", "class", 1, 3), ("g", "function", 2, 3)]
