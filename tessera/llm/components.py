@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import checkpointed
+from tessera.llm.storage import checkpointed, release
 
 
 def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +55,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = checkpointed(small)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
+            del both, low, large, down, small
+            release(edges.sparkSession)
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = state
     raise RuntimeError(f"no end after {rounds} rounds")

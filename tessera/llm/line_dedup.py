@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.memory import frugal, small_batches
+from tessera.llm.memory import arrow_rows, frugal, small_batches
 from tessera.llm.near_dedup import BASE, BASE_INVERSE, MIX_B, _mix
 from tessera.llm.storage import checkpointed, unused, written
 
@@ -38,6 +38,8 @@ DIFFER = 5
 SLICE_BYTES = 512 << 10
 #: Masked lines that a task remembers, so that it sends the tokens of their copies once.
 MEMORY = 1 << 17
+#: Thin rows of an Arrow batch.
+KEYS = 16_384
 #: Up to so many lines that share a part are compared all with all; beyond, first with the templates found so far, in buckets.
 MANY, BUCKET, ROUNDS = 32, 512, 3
 #: Lines outside a key's largest template, and lines of the key, that are compared in one block.
@@ -48,6 +50,20 @@ def _running(mask: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
 
 
+#: Powers of the hashes' base and of its inverse, as far as a slice has asked for them, at most for two slices' bytes.
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(n, SLICE_BYTES)
+        found = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (BASE, BASE_INVERSE)]
+        if size > 2 * SLICE_BYTES:
+            return found[0][: n + 1], found[1][: n + 1]
+        _POWERS[:] = found
+    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
+
+
 def _starts_with(data: np.ndarray, mark: bytes) -> np.ndarray:
     """True where ``mark`` begins."""
     out = np.zeros(len(data), bool)
@@ -90,14 +106,20 @@ class Lines:
         opens = ~gap & (np.concatenate([[True], gap[:-1]])[:n] | edge[:-1] | wide[:-1] | ends[:-1])
         closes = ~gap & (np.concatenate([gap[1:], [True]])[-n:] | edge[1:] | wide[1:] | ends[1:]) if n else np.zeros(0, bool)
         start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        field = np.zeros(len(start), bool)
-        digit, at_sign, dot = (_running(x) for x in ((data >= 0x30) & (data <= 0x39), data == 0x40, data == 0x2E))
-        held = lambda total: total[end] > total[start]
-        field = held(digit) | held(at_sign) & held(dot)
+
+        def holding(where: np.ndarray) -> np.ndarray:
+            """Tokens with a byte that is true; every such byte is a token's."""
+            out = np.zeros(len(start), bool)
+            out[np.searchsorted(start, np.flatnonzero(where), "right") - 1] = True
+            return out
+
+        field = holding((data >= 0x30) & (data <= 0x39))
+        if (at_sign := data == 0x40).any():
+            field |= holding(at_sign) & holding(data == 0x2E)
         for mark in (b"://", b"www."):
             if (where := _starts_with(data, mark)).any():
-                field |= held(_running(where))
-        power, inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (BASE, BASE_INVERSE))
+                field |= holding(where)
+        power, inverse = _powers(n)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])])
         token = np.where(field, np.uint64(0), _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)) | np.uint64(1))
         weights = _running(weight)
@@ -183,12 +205,18 @@ def _agreeing(a: pa.Array, b: pa.Array, least: int) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, leaf) sorted by both: pairs of lines that share a key; of keys with many lines the lines, with the key and without a partner."""
+    """Of rows (key, leaf) sorted by key: pairs of lines that share a key; of keys with many lines the lines, with the key and without a partner."""
     key, leaf, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # rows of a key that may go on; a key that has many
 
     def met(key: np.ndarray, leaf: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
-        if not len(key):
+        # most keys have one line: only the others are put in order
+        alike = key[1:] == key[:-1]
+        several = np.flatnonzero(np.concatenate([alike, [False]]) | np.concatenate([[False], alike]) | ((key == large) if large is not None else False)) if len(key) else key
+        if not len(several):
             return
+        key, leaf = key[several], leaf[several]
+        order = np.lexsort((leaf, key))
+        key, leaf = key[order], leaf[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (leaf[1:] != leaf[:-1])
         key, leaf = key[fresh], leaf[fresh]
@@ -314,10 +342,12 @@ def merged_leaves(lines: DataFrame, least: int, depth: int) -> DataFrame:
     def agree(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(_agreeing(a, b, least))
 
-    keys = lines.mapInArrow(frugal(keyed), "key long, leaf long").repartition("key").sortWithinPartitions("key", "leaf")
-    met = written(keys.mapInArrow(frugal(_meet), "u long, v long, key long"), "line-pairs")
+    # by one long alone rows are sorted by radix; rows are thin, so many go to Python at a time
+    keys = lines.mapInArrow(frugal(keyed), "key long, leaf long").repartition("key").sortWithinPartitions("key")
+    with arrow_rows(lines.sparkSession, KEYS):
+        met = written(keys.mapInArrow(frugal(_meet), "u long, v long, key long"), "line-pairs")
     pairs = checkpointed(met.where("v is not null").select("u", "v").distinct())
-    shared = many = met.where("v is null").select("u", "key")
+    shared = many = met.where("v is null").select("u", "key").distinct()
     wanted = pairs.select("u").union(pairs.select("v")).union(many.select("u")).distinct()
     # of the copies of a masked line one goes on
     shown = written(lines.join(wanted, F.col("leaf") == F.col("u"), "left_semi").dropDuplicates(["leaf"]), "line-tokens")

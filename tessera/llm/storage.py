@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the disk of shuffles and checkpoints that no table refers to any more.
+
+    Spark does so when the driver's JVM collects its garbage, which in a loop of many small shuffles may not be before the disk is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
