@@ -5,14 +5,22 @@ Needs a state store that keeps several states a key: ``spark.sql.streaming.state
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EPOCH, _MS = datetime(1970, 1, 1, tzinfo=UTC), timedelta(milliseconds=1)
+
+
+def _ms(at: datetime) -> int:
+    """Milliseconds since 1970, rounded down."""
+    return ((at if at.tzinfo else at.replace(tzinfo=UTC)) - _EPOCH) // _MS
 
 
 @dataclass
@@ -29,11 +37,12 @@ class Open:
         self.n, self.began, self.last = self.n + 1, min(self.began, at), max(self.last, at)
         if kind is not None:
             self.kinds[str(kind)] = self.kinds.get(str(kind), 0) + 1
-            self.recent = sorted([*self.recent, (at, str(kind))])[-most:]
+            insort(self.recent, (at, str(kind)))
+            del self.recent[:-most]
 
-    def row(self, key: tuple, closed: bool) -> pd.DataFrame:
+    def row(self, key: tuple, closed: bool) -> Row:
         phase = "exploration" if self.n < 3 else "learning" if len(self.kinds) < 3 else "implementation"
-        return pd.DataFrame({"key": [key[0]], "began_ms": [self.began], "last_ms": [self.last], "n": [self.n], "kinds": [len(self.kinds)], "recent": [",".join(k for _, k in self.recent)], "phase": [phase], "closed": [closed]})
+        return Row(key=key[0], began_ms=self.began, last_ms=self.last, n=self.n, kinds=len(self.kinds), recent=",".join(k for _, k in self.recent), phase=phase, closed=closed)
 
 
 class Sessions(StatefulProcessor):
@@ -54,50 +63,45 @@ class Sessions(StatefulProcessor):
 
     def _load(self) -> Open | None:
         """The key's open session: each state is read once a batch, not once a row."""
-        if not self.span.exists():
-            return None
-        return Open(*self.span.get(), {k: n for (k,), (n,) in self.kinds.iterator()}, sorted(self.recent.get()))
+        span = self.span.get()
+        return span and Open(*span, {k: n for (k,), (n,) in self.kinds.iterator()}, sorted(map(tuple, self.recent.get())))
 
-    def _keep(self, one: Open, known: dict[str, int]) -> None:
+    def _keep(self, one: Open, known: dict[str, int], ends: int | None) -> None:
+        """``ends``: the time of the timer that the key has, if any. Each call to a state is a message to the JVM, so only what is new is sent."""
         self.span.update((one.n, one.began, one.last))
         for kind, n in one.kinds.items():
             if known.get(kind) != n:
                 self.kinds.updateValue((kind,), (n,))
-        self.recent.put(one.recent) if one.recent else self.recent.clear()
-        self._timer(one.last + self.idle_ms)
-
-    def _drop(self) -> None:
-        for state in (self.span, self.kinds, self.recent):
-            state.clear()
-        self._timer(None)
-
-    def _timer(self, at: int | None) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if at is not None:
-            self.handle.registerTimer(at)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if one.recent:
+            self.recent.put(one.recent)
+        if ends != one.last + self.idle_ms:
+            if ends is not None:
+                self.handle.deleteTimer(ends)
+            self.handle.registerTimer(one.last + self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # a batch's rows of a key come in no order; times and kinds alone are gathered to be put in one
-        thin = pd.concat([b[[self.time_col, self.kind]] for b in rows]).sort_values(self.time_col, kind="stable")
-        unit = {"ns": 1_000_000, "us": 1_000, "ms": 1}[thin[self.time_col].dt.unit]
+        thin = sorted(((_ms(r[self.time_col]), r[self.kind]) for r in rows), key=lambda x: x[0])
         one = self._load()
-        known, done = dict(one.kinds) if one else {}, []
-        for at, kind in zip((thin[self.time_col].astype("int64") // unit).tolist(), thin[self.kind].tolist(), strict=True):
+        known, ends = (dict(one.kinds), one.last + self.idle_ms) if one else ({}, None)
+        for at, kind in thin:
             if one and at > one.last + self.idle_ms:
-                done.append(one.row(key, True))
+                yield one.row(key, True)
                 if known:
-                    self._drop()
+                    self.kinds.clear()
+                    self.recent.clear()
                 one, known = None, {}
             one = one or Open(0, at, at, {}, [])
             one.add(at, kind, self.most)
-        self._keep(one, known)
-        yield pd.concat([*done, one.row(key, False)], ignore_index=True)
+        self._keep(one, known, ends)
+        yield one.row(key, False)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # Spark drops the timer itself
         one = self._load()
         if one:
-            self._drop()
+            for state in (self.span, self.kinds, self.recent):
+                state.clear()
             yield one.row(key, True)
 
     def close(self) -> None:
@@ -114,9 +118,9 @@ def drained(spark: SparkSession, states: DataFrame, folder: str) -> DataFrame:
 def session_states(events: DataFrame, time_col: str, key: str, kind: str, idle_ms: int = 3_600_000, late: str = "10 minutes", recent: int = 5) -> DataFrame:
     """``key, began_ms, last_ms, n, kinds, recent, phase, closed``: each key's session after each batch, and once more when it has ended.
 
-    Rows later than the watermark are dropped. A restart goes on from the checkpoint; rows of a batch that is run again count once.
+    Rows later than the watermark are dropped, rows without a time belong to no session. A restart goes on from the checkpoint; rows of a batch that is run again count once.
     """
     key_type = events.schema[key].dataType.simpleString()
     shape = f"key {key_type}, began_ms long, last_ms long, n long, kinds long, recent string, phase string, closed boolean"
-    rows = events.select(key, time_col, kind).withWatermark(time_col, late)
-    return rows.groupBy(key).transformWithStateInPandas(Sessions(time_col, kind, idle_ms, recent), shape, "Update", "EventTime")
+    rows = events.select(key, time_col, kind).where(F.col(time_col).isNotNull()).withWatermark(time_col, late)
+    return rows.groupBy(key).transformWithState(Sessions(time_col, kind, idle_ms, recent), shape, "Update", "EventTime")

@@ -1,6 +1,9 @@
 """Session state with timers over restarts and late rows; snapshots by batch, run again, with deletes."""
 
+from datetime import UTC, datetime
+
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.streaming import session_state, snapshots
@@ -51,6 +54,34 @@ def test_sessions_end_by_timer_and_outlive_a_restart(rocks, tmp_path):
     assert [r.n for r in rows if r.key == "a" and not r.closed] == [1]
 
 
+class Counted:
+    """A state, or all of a handle's timers, that counts the calls made to it; each is a message to the JVM."""
+
+    def __init__(self, value=None, rows=()):
+        self.value, self.rows, self.calls = value, rows, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            return {"get": self.rows or self.value, "iterator": self.rows, "exists": self.value is not None}.get(name, [])
+
+        return call
+
+
+def test_a_key_costs_few_messages_and_its_rows_no_frame_each():
+    sessions = session_state.Sessions("ts", "kind", 3_600_000, 3)
+    sessions.handle, sessions.span, sessions.kinds, sessions.recent = Counted(), Counted(), Counted(), Counted(rows=())
+    at = lambda hour: datetime(2024, 1, 1, hour, tzinfo=UTC)
+    rows = list(sessions.handleInputRows(("a",), iter([Row(k="a", ts=at(h), kind=k) for h, k in ((9, "y"), (1, "x"), (9, None), (1, "x"), (5, "z"))]), None))
+    assert [(r.n, r.kinds, r.recent, r.closed) for r in rows] == [(2, 1, "x,x", True), (1, 1, "z", True), (2, 1, "y", False)]
+    assert sessions.handle.calls == ["registerTimer"] and sessions.span.calls == ["get", "update"] and sessions.kinds.calls == ["updateValue"] and sessions.recent.calls == ["put"]
+    # the timer of a kept session is known from its span; the same end needs no new one
+    began = rows[-1].began_ms
+    sessions.handle, sessions.span, sessions.kinds, sessions.recent = Counted(), Counted((2, began, began)), Counted(rows=[(("y",), (1,))]), Counted(rows=[(began, "y")])
+    (row,) = sessions.handleInputRows(("a",), iter([Row(k="a", ts=at(9), kind="y")]), None)
+    assert (row.n, row.recent) == (3, "y,y") and sessions.handle.calls == []
+
+
 def test_a_batch_run_again_changes_nothing_and_deletes_are_found(spark, tmp_path):
     folder, root, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     seen = []
