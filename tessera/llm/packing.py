@@ -16,11 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.memory import frugal, small_batches
+from tessera.llm.memory import frugal, give_back, small_batches
 from tessera.llm.tokens import encoder, with_end
 
 #: Bits of a sequence's number within its bucket and task, and of the task's number.
 NUMBER_BITS, TASK_BITS = 36, 22
+#: Pieces that a worker keeps, and bytes of text that it cuts at a time. An executor has more idle workers than tasks, and each keeps its own.
+CACHED, SLICE_BYTES = 200_000, 1 << 20
 
 
 def decompose(tokens: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,14 +57,14 @@ def pack_documents(
     """
     if longest & (longest - 1):
         raise ValueError("the sequence length must be a power of two")
-    small_batches(docs.sparkSession, 4_000)  # pieces repeat, so larger slices have less to encode
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() % (1 << TASK_BITS)
         made = np.zeros(longest.bit_length(), np.int64)
         for b in batches:
-            for first, *slice_ in encoder(tokenizer).slices(b.column("text")):
+            for first, *slice_ in encoder(tokenizer, CACHED).slices(b.column("text"), SLICE_BYTES):
                 ids, at = with_end(*slice_, end_id)
                 tokens = np.diff(at)
                 doc, start, length = decompose(tokens, longest)
@@ -80,6 +82,7 @@ def pack_documents(
                     [b.column("doc_id").take(pa.array(first + doc)), pa.array(start), pa.array(length), raw, pa.array(tokens[doc]), pa.array(sequence), pa.array(np.zeros(len(doc), np.int64))],
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
+            give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         frugal(pack), f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.memory import keeps
+from tessera.llm.memory import give_back, keeps
 
 #: Bytes of text that are cut at a time; longer single texts are taken whole.
 SLICE_BYTES = 4 << 20
@@ -138,15 +138,15 @@ class PieceEncoder:
         coded = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
         return np.array([i for ids in coded for i in ids], np.uint32), np.cumsum([0, *map(len, coded)])
 
-    def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids in a row, offsets into them) of slices of a column; null counts as empty."""
+    def slices(self, texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids in a row, offsets into them) of slices of a column, of ``most`` bytes or one text; null counts as empty."""
         raw = texts.cast(pa.large_binary()).fill_null(b"")
         if not len(raw):
             return
         offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
         data, first = np.frombuffer(raw.buffers()[2] or b"", np.uint8), 0
         while first < len(raw):
-            last = min(len(raw), max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1))
+            last = min(len(raw), max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1))
             lo, hi = offsets[first], offsets[last]
             if self.apart:
                 yield first, *self._slice(np.ascontiguousarray(data[lo:hi]), offsets[first : last + 1] - lo)
@@ -175,12 +175,13 @@ def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, bounds + np.arange(len(bounds))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The worker process's encoder of this vocabulary; one of another vocabulary goes."""
-    keeps("tokens " + path, _ENCODERS.clear)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache: int = 500_000) -> PieceEncoder:
+    """The worker process's encoder of this vocabulary, with so many pieces kept; another one goes."""
+    keeps(f"tokens {path} {cache}", _ENCODERS.clear)
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS[path, cache] = PieceEncoder(path, cache)
+        give_back()  # what reading the vocabulary took
+    return _ENCODERS[path, cache]
