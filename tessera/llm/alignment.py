@@ -19,14 +19,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.memory import arrow_rows, frugal, keeps
+from tessera.llm.memory import arrow_rows, frugal, give_back, keeps
 from tessera.llm.storage import checkpointed, written
-from tessera.llm.tokens import SLICE_BYTES, PieceEncoder
+from tessera.llm.tokens import PieceEncoder
 
 #: Bytes of text whose pairs are counted together; a longer single text is a batch of its own.
 BATCH_BYTES = 16 << 20
+#: Pieces that a worker keeps for each vocabulary, and bytes of text that it cuts at a time; longer single texts are taken whole.
+CACHED, SLICE_BYTES = 200_000, 1 << 20
 #: Bytes of text for which the dictionaries of ends are held at a time.
-SPAN_BYTES = 1 << 20
+SPAN_BYTES = 1 << 18
+#: Links that are looked up at a time.
+LINKS = 1 << 18
 #: Rows of pairs in an Arrow batch.
 PAIR_ROWS = 1 << 16
 #: What stands for a space in a vocabulary of pieces.
@@ -36,7 +40,7 @@ SPACE_MARK = "▁"
 class SentencePieces:
     """Ids of texts that begin with the space which the model would add, cut before each run of spaces and cached by piece."""
 
-    def __init__(self, path: str, cache: int = 300_000, longest: int = 32):
+    def __init__(self, path: str, cache: int = CACHED, longest: int = 32):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
@@ -103,7 +107,7 @@ class Aligner:
     """Two vocabularies, their ids' bytes and their ids' decimal strings with each separator."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = PieceEncoder(path_a, cache=300_000), SentencePieces(path_b)
+        self.a, self.b = PieceEncoder(path_a, cache=CACHED), SentencePieces(path_b)
         self.a.tokenizer.encode_special_tokens = True  # their strings inside texts are plain text
         bytes_a = byte_level_bytes(self.a)
         self.n_a, self.n_b = len(bytes_a), len(self.b.bytes_of)
@@ -201,6 +205,7 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str, show: bool) -> DataFrame
                 if size >= BATCH_BYTES:
                     yield summary()
                     nth, size, held = nth + 1, 0, []
+            give_back()
         if held:
             yield summary()
 
@@ -219,7 +224,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     span of bytes at a time. An empty table gives no rows; other columns aren't read, whatever their names.
     """
     spark = docs.sparkSession
-    with arrow_rows(spark, 2_000):
+    with arrow_rows(spark, 500):
         aligned = written(_aligned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path_a, path_b, groups), "alignment")
     from sentencepiece import SentencePieceProcessor
 
@@ -227,8 +232,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for batch, pairs, counts in zip(b.column("batch").to_pylist(), b.column("pairs").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                pairs, counts = np.frombuffer(pairs, "<i8"), np.frombuffer(counts, "<i8")
+            for batch, pairs, counts in zip(b.column("batch").to_pylist(), b.column("pairs"), b.column("counts"), strict=True):
+                pairs, counts = np.frombuffer(pairs.as_buffer(), "<i8"), np.frombuffer(counts.as_buffer(), "<i8")
                 for k in range(0, len(pairs), PAIR_ROWS):
                     own = pairs[k : k + PAIR_ROWS]
                     yield pa.record_batch([pa.array(np.full(len(own), batch)), pa.array(own), pa.array(counts[k : k + PAIR_ROWS])], names=["batch", "pair", "n"])
@@ -242,14 +247,14 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     own = aligned.where("n_a is not null").select("batch", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links", *["groups"] * groups)
 
     def counted(left: pa.Table, right: pa.Table) -> pa.Table:
+        keeps("links", lambda: None)
         order = np.argsort(pairs := right.column("pair").to_numpy())
         pairs, total, best = pairs[order], right.column("total").to_numpy()[order], right.column("best").to_numpy(zero_copy_only=False)[order]
-        flat = [np.frombuffer(x, "<i8") for x in left.column("links").to_pylist()]
-        lengths = np.array([len(x) for x in flat], np.int64)
-        at, doc = np.searchsorted(pairs, np.concatenate([np.zeros(0, np.int64), *flat])), np.repeat(np.arange(len(flat)), lengths)
+        sums = [link_sums(x, pairs, best, total) for x in left.column("links").chunks if len(x)]
         kept = left.drop_columns(["batch", "links"])
-        for name, x in (("n_links", lengths), ("n_best", sums_by(doc, best[at], len(flat))), ("count_sum", sums_by(doc, total[at], len(flat)))):
-            kept = kept.append_column(name, pa.array(x))
+        for name, x in zip(("n_links", "n_best", "count_sum"), zip(*sums, strict=True), strict=True):
+            kept = kept.append_column(name, pa.array(np.concatenate(x)))
+        give_back()
         return kept.select(names)
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *["groups"] * groups]
@@ -258,8 +263,17 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     return own.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(counted, shape)
 
 
-def sums_by(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of whole numbers by ascending ``doc``, in 64-bit integers."""
-    before = np.append(0, np.cumsum(values.astype(np.int64)))
-    ends = np.searchsorted(doc, np.arange(n + 1), "left")
-    return before[ends[1:]] - before[ends[:-1]]
+def link_sums(links: pa.Array, pairs: np.ndarray, best: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row's linked pairs: how many there are, how many are best, and the sum of their totals, in 64-bit integers.
+
+    ``pairs`` ascend and hold all that are linked. Links are read where they lie, so many at a time, whatever rows they belong to.
+    """
+    ends = np.frombuffer(links.buffers()[1], np.int32)[links.offset : links.offset + len(links) + 1].astype(np.int64) // 8
+    flat = np.frombuffer(links.buffers()[2] or b"", "<i8", ends[-1])
+    n_best, count_sum = np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
+    for k in range(int(ends[0]), len(flat), LINKS):
+        at = np.searchsorted(pairs, flat[k : k + LINKS])
+        cut = np.clip(ends - k, 0, len(at))
+        for out, values in ((n_best, best), (count_sum, total)):
+            out += np.diff(np.append(0, np.cumsum(values[at], dtype=np.int64))[cut])
+    return np.diff(ends), n_best, count_sum
