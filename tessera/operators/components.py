@@ -2,8 +2,9 @@
 
 Components come from reach in both directions: every node takes the least label among the nodes that reach it and among those it reaches. A
 node whose two labels are one and the same node lies on a cycle with it; an edge between nodes with unlike labels is in no cycle and goes. Labels are
-in a random order, so the parts that are left shrink quickly. Work is joins in checkpointed rounds, and only nodes whose label has changed pass it on.
-Joins are by sorting: a settled table keeps the size that Spark guessed before it was made, which may be far too small.
+numbers in a random order, so the parts that are left shrink quickly. Work is joins in checkpointed rounds, and only nodes whose label has changed pass it on.
+Joins are by sorting: a settled table keeps the size that Spark guessed before it was made, which may be far too small. A round's state is one settled
+table, never a union of all rounds' tables, so that a round's plan and its number of tasks, which the driver keeps, don't grow from round to round.
 """
 
 from __future__ import annotations
@@ -22,18 +23,28 @@ def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
     return edges
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, id`` of the nodes of ``edges``, their ids distinct and in a random order, and the edges as ``src, dst`` between ids."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    ids = settled(nodes.repartition("node").sortWithinPartitions(F.xxhash64("node")).select("node", F.monotonically_increasing_id().alias("id")))
+    ends = [ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id")).hint("merge") for c in ("src", "dst")]
+    return ids, settled(edges.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+
+
 def _least_labels(edges: DataFrame) -> DataFrame:
-    """``node, ahead, behind``: the least labels of the nodes that a node reaches and that reach it, itself included; a label is (hash, node)."""
-    own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
-    both = settled(edges.select(F.lit(True).alias("up"), F.col("src").alias("from"), F.col("dst").alias("to")).union(edges.select(F.lit(False), "dst", "src")))
+    """``node, ahead, behind``: the least of the nodes that a node reaches and that reach it, itself included; ``edges`` are between numbers.
+
+    Edges and their turned copies are one graph of places, twice a node's number and, on the turned side, one more.
+    """
+    ways = settled(edges.select((2 * F.col("src")).alias("from"), (2 * F.col("dst")).alias("place")).union(edges.select(2 * F.col("dst") + 1, 2 * F.col("src") + 1)))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    labels = front = settled(nodes.select("node", own.alias("label"), F.explode(F.array(F.lit(True), F.lit(False))).alias("up")))
-    while front.take(1):
-        sent = front.join(both.withColumnRenamed("up", "way").hint("merge"), (F.col("node") == F.col("from")) & (F.col("up") == F.col("way")))
-        offered = sent.groupBy(F.col("to").alias("node"), "up").agg(F.min("label").alias("offer"))
-        after = settled(labels.join(offered.hint("merge"), ["node", "up"], "left").select("node", "up", F.least("label", "offer").alias("label"), (F.coalesce(F.col("offer") < F.col("label"), F.lit(False))).alias("new")))
-        labels, front = after.drop("new"), after.where("new").drop("new")
-    return labels.groupBy("node").agg(F.max(F.when(F.col("up"), F.col("label"))).alias("behind"), F.max(F.when(~F.col("up"), F.col("label"))).alias("ahead"))
+    labels = settled(nodes.select(F.explode(F.array(2 * F.col("node"), 2 * F.col("node") + 1)).alias("at"), F.col("node").alias("label"), F.lit(True).alias("new")))
+    while (front := labels.where("new").select("at", "label")).take(1):
+        offers = front.join(ways.hint("merge"), F.col("at") == F.col("from")).select("place", "label", F.lit(None).cast("long"))
+        least = labels.select(F.col("at").alias("place"), "label", F.col("label").alias("own")).union(offers).groupBy("place").agg(F.min("label").alias("label"), F.min("own").alias("own"))
+        labels = settled(least.select(F.col("place").alias("at"), "label", (F.col("label") < F.col("own")).alias("new")))
+    side = lambda turned: F.max(F.when(F.col("at") % 2 == turned, F.col("label")))
+    return labels.groupBy(F.floor(F.col("at") / 2).alias("node")).agg(side(0).alias("behind"), side(1).alias("ahead"))
 
 
 def strong_components(edges: DataFrame, trims: int = 2) -> DataFrame:
@@ -43,19 +54,19 @@ def strong_components(edges: DataFrame, trims: int = 2) -> DataFrame:
     edges with a null end aren't read.
     """
     whole = settled(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    left = _trimmed(whole.where("src <> dst"), trims)
+    ids, left = _numbered(_trimmed(whole.where("src <> dst"), trims))
     found = None
     while left.take(1):
         labels = settled(_least_labels(left))
-        done = labels.where(F.col("ahead") == F.col("behind")).select("node", F.col("ahead")["n"].alias("pivot"))
-        found = done if found is None else found.unionByName(done)
+        done = labels.where(F.col("ahead") == F.col("behind")).select("node", F.col("ahead").alias("pivot"))
+        found = done if found is None else settled(found.unionByName(done))
         open_ = labels.where(F.col("ahead") != F.col("behind"))
         ends = [open_.select(F.col("node").alias(c), F.struct("ahead", "behind").alias(f"{c}_labels")) for c in ("src", "dst")]
         left = _trimmed(settled(left.join(ends[0].hint("merge"), "src").join(ends[1].hint("merge"), "dst").where("src_labels = dst_labels").select("src", "dst")), 1)
     nodes = whole.select(F.col("src").alias("node")).union(whole.select("dst")).distinct()
     if found is None:
         return nodes.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("nodes"))
-    found = settled(found)
+    found = settled(ids.join(found.withColumnRenamed("node", "id").hint("merge"), "id").select("node", "pivot"))
     named = found.groupBy("pivot").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("nodes"))
     members = found.join(named.hint("merge"), "pivot").select("node", "component", "nodes")
     return nodes.join(members.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("nodes", F.lit(1).cast("long")).alias("nodes"))
@@ -65,28 +76,25 @@ def witness_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     """``component, nodes, cycle, length, severity``: for each component with a cycle a shortest one through its smallest node.
 
     ``cycle`` is an array that begins with that node. Two nodes that depend on each other, and a node on itself, are a warning; larger components an
-    error. Only the rows found last carry their way along, and a component whose cycle is found takes no further step.
+    error. One table holds the nodes reached so far, and only those found last carry their way along; steps end when all components have a cycle.
     """
     e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     of = components.select(F.col("node").alias("src"), "component", "nodes")
     inner = settled(e.join(of.hint("merge"), "src").join(components.select(F.col("node").alias("dst"), F.col("component").alias("other")).hint("merge"), "dst").where("component = other").select("component", "nodes", "src", "dst"))
-    front = inner.where("src = component").select("component", "nodes", F.array("src").alias("cycle"), F.col("dst").alias("at"))
-    seen, found = None, None
+    wanted = inner.select("component").distinct().count()
+    back, key = F.col("at") == F.col("component"), ["component", "nodes", "at"]
+    reached = settled(inner.where("src = component").select("component", "nodes", F.col("dst").alias("at"), F.lit(True).alias("new"), F.array("src").alias("cycle")))
     while True:
-        front = settled(front)
-        closed = front.where("at = component").groupBy("component", "nodes").agg(F.min("cycle").alias("cycle"))
-        found = settled(closed if found is None else found.unionByName(closed))
-        here = front.where("at <> component").select("component", F.col("at").alias("node"))
-        seen = here if seen is None else seen.unionByName(here)
-        onward = front.join(found.select("component").hint("merge"), "component", "left_anti")
-        if not onward.take(1):
+        closed, open_ = reached.agg(F.count_if(back), F.count_if(F.col("new") & ~back)).first()
+        if closed >= wanted or not open_:
             break
-        step = onward.join(inner.drop("nodes").hint("merge"), (onward["at"] == inner["src"]) & (onward["component"] == inner["component"]))
-        ways = step.groupBy(onward["component"], "nodes", F.col("dst").alias("next")).agg(F.min(F.array_append("cycle", F.col("at"))).alias("cycle"))
-        known = seen.withColumnRenamed("node", "next")
-        front = ways.join(known.hint("merge"), ["component", "next"], "left_anti").select("component", "nodes", "cycle", F.col("next").alias("at"))
+        front = reached.where(F.col("new") & ~back).select("at", F.array_append("cycle", F.col("at")).alias("cycle"))
+        onward = front.join(inner.hint("merge"), F.col("at") == F.col("src")).select("component", "nodes", F.col("dst").alias("at"), F.lit(True), "cycle")
+        known = reached.select(*key, F.lit(False).alias("new"), F.when(back, F.col("cycle")).alias("cycle"))
+        # of a node's rows the known one is least, else the one with the least way
+        reached = settled(known.union(onward).groupBy(*key).agg(F.min(F.struct("new", "cycle")).alias("way")).select(*key, "way.new", "way.cycle"))
     severity = F.when(F.col("nodes") <= 2, "warning").otherwise("error")
-    return found.select("component", "nodes", "cycle", F.size("cycle").cast("long").alias("length"), severity.alias("severity"))
+    return reached.where(back).select("component", "nodes", "cycle", F.size("cycle").cast("long").alias("length"), severity.alias("severity"))
 
 
 def canonical_cycle(cycle: Column) -> Column:

@@ -25,10 +25,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def guessed_size(df: DataFrame) -> float:
+    """The bytes that Spark guesses for ``df``; infinite where they have more digits than Python reads."""
+    try:
+        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    except ValueError:
+        return math.inf
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once, in the shared folder.
+
+    A settled table keeps the size that Spark guessed for its plan, and a join's is the product of its sides': in loops its digits multiply, to megabytes
+    for each step of a plan, all on the driver. A guess that no table can have is dropped; such a table has Spark's size for unknown ones.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    done = df.checkpoint()
+    if guessed_size(done) < 2**63:
+        return done
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
 
 
 def spread(rows: DataFrame, key: str, per_task: int = 4_000) -> DataFrame:

@@ -52,3 +52,27 @@ def test_a_cycle_is_spelt_in_the_error(spark):
         C.require_acyclic(line.union(spark.createDataFrame([(5, 3)], "src int, dst int")))
     with pytest.raises(ValueError, match="7 -> 7"):
         C.require_acyclic(spark.createDataFrame([(7, 7)], "src int, dst int"))
+
+
+def test_rounds_keep_plans_and_guesses_small(spark, monkeypatch):
+    guesses, leaves, kept = [], [], C.settled
+
+    def seen(df):
+        leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        guesses.append((out := kept(df))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return out
+
+    monkeypatch.setattr(C, "settled", seen)
+    ring = spark.range(14).selectExpr("id as src", "(id + 1) % 14 as dst")
+    assert [tuple(r) for r in C.component_summary(ring).collect()] == [(0, 14, 14, "error")]
+    assert len(guesses) > 28 and max(guesses) < 2**64 and max(leaves) <= 5
+
+
+def test_settled_tables_of_unknown_size_keep_rows_and_types(spark):
+    rows = spark.sql("select 1 as i, cast(null as string) as t, array(struct(1.5D as d, date'2024-02-03' as day)) as a, timestamp_ntz'2024-01-01 00:00:01' as n, cast(2.50 as decimal(9,2)) as m")
+    wide = rows
+    for k in range(12):
+        wide = wide.crossJoin(spark.range(1).withColumnRenamed("id", f"x{k}"))
+    out = C.settled(wide)
+    assert out.schema == wide.schema and out.collect() == wide.collect()
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
