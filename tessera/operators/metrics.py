@@ -12,6 +12,14 @@ BUCKETS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
 
 
 def r6(c: Column) -> Column:
+    """``c`` rounded to six decimals as SQL over doubles does, by its double product with a million."""
+    value = c.cast("double")
+    millions = value * 1e6
+    return F.when(F.abs(millions) < float("inf"), F.round(millions) / 1e6).otherwise(value)
+
+
+def half_up(c: Column) -> Column:
+    """``c`` rounded to six decimals by its shortest decimal, a half away from zero."""
     return F.round(c.cast("double"), 6)
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import analytics, components, graph, paths
+from tessera.operators import analytics, components, graph, metrics, paths
 from tessera.plans.registry import ORACLES, QUERIES
 from tessera.sources import code, symbols, trees
 
@@ -92,3 +92,41 @@ def test_symbol_uses_cut_lines_once(spark):
     uses = symbols.symbol_uses(files, "path", "text")
     assert optimized(uses).count("regexp_extract_all(") == 1
     assert sorted({(r.name, r.kind, r.line_no, r.uses) for r in uses.collect()}) == [("A", "class", 1, 3), ("g", "function", 2, 3)]
+
+
+def modes_of_sql(spark, folder, rows):
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    names = "user_id, speedup, time_saved, memory_overhead, recommended"
+    want = con.execute(f"select {names} from ({ORACLES['execution_modes']}) order by 1").fetchall()
+    return [tuple(r) for r in QUERIES["execution_modes"](spark, str(folder)).orderBy("user_id").select(*names.split(", ")).collect()], want
+
+
+def test_modes_at_a_half_as_in_sql(spark, tmp_path):
+    # 136.71 / 134.4 is 1.0171875, whose double product with a million is below 1017187.5
+    pairs = [(136.71, 134.4), *[(a / 100, b / 100) for a in range(3, 4000, 97) for b in (640, 3200, 12800, 13440, 16000)]]
+    got, want = modes_of_sql(spark, tmp_path, [(i, kind, v) for i, pair in enumerate(pairs) for kind, v in zip(("click", "view"), pair)])
+    assert got == want and got[0][3] == 1.017187
+
+
+def test_modes_without_a_total_are_left_out_as_in_sql(spark, tmp_path):
+    rows = [(1, "click", 0.0), (1, "view", 2.0), (2, "click", 2.0), (2, "view", 0.0), (3, "click", 0.0), (3, "view", 0.0), (4, "click", 4.0), (4, "view", 1.0), (4, "view", 0.0), (5, "click", None), (5, "view", 1.0), (6, "view", 1.0)]
+    got, want = modes_of_sql(spark, tmp_path, rows)
+    assert got == want == [(4, 0.25, -3.0, 4.0, "view")]
+
+
+def test_totals_of_modes_are_summed_as_in_sql(spark, tmp_path):
+    # in doubles 0.1 + 0.2 + 0.3 is above 0.6 and 0.3 + 0.2 + 0.1 isn't
+    rows = [(u, "view", v) for u, vs in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1))) for v in vs] + [(1, "click", 0.6), (2, "click", 0.6), (3, "click", 0.3), (3, "view", 0.1), (3, "view", None), (3, "view", 0.2)]
+    got, want = modes_of_sql(spark, tmp_path, rows)
+    assert got == want and [r[4] for r in got] == ["click", "view", "click"]
+
+
+def test_rounding_as_in_sql(spark, tmp_path):
+    values = [0.0, 1.0000005, 2.0000015, -2.0000015, 1.0171875, 0.0000005, 123456.7890125, 9007199254.7409925, 1e15 + 0.3, 1e305, -1e308, float("inf"), None, *[k / 128 / 625 for k in range(1, 4000, 3)]]
+    spark.createDataFrame(list(enumerate(values)), "i int, v double").coalesce(1).write.parquet(f"{tmp_path}/v")
+    want = duckdb.sql(f"select i, round(v, 6) from '{tmp_path}/v/*.parquet' order by i").fetchall()
+    rows = spark.read.parquet(f"{tmp_path}/v").orderBy("i")
+    assert [tuple(r) for r in rows.select("i", metrics.r6(F.col("v"))).collect()] == want
+    assert str(spark.sql("select double('NaN') as v").select(metrics.r6(F.col("v"))).first()[0]) == "nan"
